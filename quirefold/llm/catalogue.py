@@ -6,12 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import packing, tokens
+from quirefold.llm import lookalike, neardup, packing, tokens
 from quirefold.session import spread, table
 
 ORACLES: dict[str, str] = {}
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.pairs(table(spark, sf_dir, "question"))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "question"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.found(table(spark, sf_dir, "question"))
+
+
+def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.consistent_values(table(spark, sf_dir, "question"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -24,4 +40,4 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p7_containers(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_ids, p7_containers, p7_fill)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_groups, p5_found, p5_forms, p6_ids, p7_containers, p7_fill)}
