@@ -6,5 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from quirefold.operators import packed
+from quirefold.session import table
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, str]]:
+    return {"question": (table(spark, sf_dir, "question"), "question_id"), "raw_question": (table(spark, sf_dir, "raw_question"), "rq_id")}
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed.over_tables(packed.positions, _packed(spark, sf_dir))
+
+
+def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed.over_tables(packed.unpack, _packed(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_values)}
 ORACLES: dict[str, str] = {}
