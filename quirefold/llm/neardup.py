@@ -3,14 +3,16 @@
 An element of a record is a word with its number of occurrence, so multisets become sets. Stages, each exact:
 
 1. Records with the same elements form a class; one row of each class goes on, copies stay in the membership table.
-2. Candidates: if two sets of sizes a and b reach the threshold t, each shares ceil(t * a) elements with the other, so
-   the first a - ceil(t * a) + 2 elements of either in any common order (rare elements first) have two elements in common.
-   Each class emits one key for each pair of its first elements, and an equi-join on the keys finds the candidates.
-3. Pivot distance tables: a fingerprint is the parity of the elements in 128 bits, so two fingerprints differ in at most as many bits
-   as the sets differ in elements. The Hamming distances to 16 reference fingerprints are computed once and travel with
-   the keys, packed in two 64-bit words. By the triangle inequality a pair whose distances to any reference differ by
-   more than (1 - t) / (1 + t) * (a + b) cannot reach the threshold and is discarded before anything is shuffled again.
-4. Survivors, once each, are verified on their elements.
+2. Candidates: if two sets reach the threshold t, a set of size a shares at least ceil(t * a) elements with the other,
+   so in any common order (rare elements first) their first a - ceil(t * a) + s elements share s. Elements are dealt by
+   hash into s - 1 buckets, so one bucket holds two shared ones. Each class emits one key for each pair of its first
+   elements in the same bucket, and an equi-join on the keys finds the candidates. Small sets use one bucket, larger ones
+   four, which more than halves the keys; sets that may meet either kind emit both.
+3. Pivot distance tables: a fingerprint is the parity of the elements in 64 bits, so two fingerprints differ in at most
+   as many bits as the sets differ in elements. The Hamming distances to 12 reference fingerprints are computed once and
+   travel with the keys, packed in one word. By the triangle inequality a pair whose distances to any reference differ
+   by more than (1 - t) / (1 + t) * (a + b) cannot reach the threshold and is discarded inside the join.
+4. Survivors are verified: first on the fingerprints themselves, then, once each, on their elements.
 
 The order needs the document frequency of frequent elements only: those in more than 1 of `rare` records. There are at
 most rare * (elements of a record) of them at any size of the input; the list goes to the tasks with the plan.
@@ -35,10 +37,12 @@ THRESHOLD = 0.7
 RARE = 2_000
 #: Fixed value: the characters that are removed from both ends of a word.
 EDGE = '.,?()“”‘’:!—"'
-PIVOTS = 16
+#: Reference fingerprints; a distance is kept in PIVOT_BITS bits, clipped to [PIVOT_LEAST, PIVOT_LEAST + 31].
+PIVOTS, PIVOT_BITS, PIVOT_LEAST = 12, 5, 16
+#: Sets of at least LARGE elements use BUCKETS buckets.
+LARGE, BUCKETS = 10, 4
 
-_SEEDS = np.random.default_rng(20)
-_PIVOT_BITS = _SEEDS.integers(0, 2**64, (PIVOTS, 2), np.uint64)
+_REFERENCES = np.random.default_rng(20).integers(0, 2**64, PIVOTS, np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -69,12 +73,8 @@ def _elements(docs: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return docs[order], elements[order]
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).astype(np.int64)
-
-
 def sketches(df: DataFrame, key: str, stem: str, options: str) -> DataFrame:
-    """(key, n, k1, k2, p1, p2, elements): size, 128-bit name of the set, packed pivot distances and the elements."""
+    """(key, n, k1, k2, fp, pivots, elements): size, 128-bit name of the set, fingerprint, packed distances, elements."""
     kind = df.schema[key].dataType.simpleString()
     narrow = df.select(F.col(key).alias("key"), F.col(stem).alias("stem"), F.col(options).alias("options"))
     sql = _words_sql()
@@ -96,33 +96,45 @@ def sketches(df: DataFrame, key: str, stem: str, options: str) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
             at, full = ends[:-1], sizes > 0
             name = np.zeros((2, rows), np.uint64)
-            print_ = np.zeros((2, rows), np.uint64)
+            parity = np.zeros(rows, np.uint64)
             if full.any():
                 starts = at[full]
                 name[0, full] = np.add.reduceat(_mix(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
                 name[1, full] = np.bitwise_xor.reduceat(_mix(elements + np.uint64(0x1234567)), starts)
-                bit = np.uint64(1) << (elements & np.uint64(63))
-                high = (elements >> np.uint64(6)) & np.uint64(1)
-                for half in (0, 1):
-                    print_[half, full] = np.bitwise_xor.reduceat(np.where(high == half, bit, np.uint64(0)), starts)
-            packed = np.zeros((2, rows), np.uint64)
-            for i, (low, top) in enumerate(_PIVOT_BITS):
-                distance = np.minimum(_popcount(print_[0] ^ low) + _popcount(print_[1] ^ top), 255).astype(np.uint64)
-                packed[i // 8] |= distance << np.uint64(8 * (i % 8))
+                parity[full] = np.bitwise_xor.reduceat(np.uint64(1) << (elements & np.uint64(63)), starts)
+            packed = np.zeros(rows, np.uint64)
+            for i, reference in enumerate(_REFERENCES):
+                distance = np.clip(np.bitwise_count(parity ^ reference).astype(np.int64) - PIVOT_LEAST, 0, 2**PIVOT_BITS - 1)
+                packed |= distance.astype(np.uint64) << np.uint64(PIVOT_BITS * i)
             yield pa.RecordBatch.from_arrays(
-                [out.column("key").combine_chunks().cast(batch.schema.field(0).type), pa.array(sizes.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (*name, *packed)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(elements.view(np.int64)))],
-                ["key", "n", "k1", "k2", "p1", "p2", "elements"],
+                [out.column("key").combine_chunks().cast(batch.schema.field(0).type), pa.array(sizes.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (*name, parity, packed)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(elements.view(np.int64)))],
+                ["key", "n", "k1", "k2", "fp", "pivots", "elements"],
             )
         con.close()
 
-    return narrow.mapInArrow(run, f"key {kind}, n int, k1 bigint, k2 bigint, p1 bigint, p2 bigint, elements array<bigint>")
+    return narrow.mapInArrow(run, f"key {kind}, n int, k1 bigint, k2 bigint, fp bigint, pivots bigint, elements array<bigint>")
+
+
+def _pairs_of(first: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) for each pair of elements of a row of `first` that fall into the same bucket."""
+    keys, rows = [], []
+    bucket = (first >> np.uint64(57)) % np.uint64(buckets)
+    for i in range(first.shape[1] - 1):
+        same = bucket[:, i : i + 1] == bucket[:, i + 1 :]
+        low, high = np.minimum(first[:, i : i + 1], first[:, i + 1 :]), np.maximum(first[:, i : i + 1], first[:, i + 1 :])
+        keys.append(_mix(low * np.uint64(3) + _mix(high) + np.uint64(buckets))[same])
+        rows.append(np.nonzero(same)[0])
+    return np.concatenate(keys), np.concatenate(rows)
 
 
 def pair_keys(classes: DataFrame, frequent: dict[int, int], threshold: float) -> DataFrame:
-    """(pair_key, rep, n, p1, p2): a row for each pair of the first elements of a class, rare elements first."""
-    kind = classes.schema["rep"].dataType.simpleString()
+    """(pair_key, rep, n, fp, pivots): a row for each pair of first elements of a class that share a bucket."""
+    kind = classes.schema["key"].dataType.simpleString()
     hashes = np.array(sorted(frequent), np.int64)
     counts = np.array([frequent[x] for x in hashes.tolist()], np.int64)
+    # A set of up to this size can reach the threshold with one that is below LARGE.
+    both = int((LARGE - 1) / threshold)
+    shared_large = BUCKETS + 1 if LARGE * threshold > BUCKETS else 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,69 +146,55 @@ def pair_keys(classes: DataFrame, frequent: dict[int, int], threshold: float) ->
                 at = np.minimum(np.searchsorted(hashes, values), len(hashes) - 1)
                 common = np.where(hashes[at] == values, counts[at], 0)
             docs = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((values, common, docs))
-            values = values[order].view(np.uint64)
+            values = values[np.lexsort((values, common, docs))].view(np.uint64)
             starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
             need = np.ceil(threshold * sizes - 1e-9).astype(np.int64)
-            lengths = np.where(sizes > 1, np.minimum(sizes, sizes - need + 2), 0)
-            keys, owners = [], []
-            for length in np.unique(lengths[lengths > 1]).tolist():
-                rows = np.flatnonzero(lengths == length)
-                first = np.sort(values[starts[rows][:, None] + np.arange(length)], axis=1)
-                for i in range(length - 1):
-                    for_one = _mix(first[:, i : i + 1] * np.uint64(3) + _mix(first[:, i + 1 :]))
-                    keys.append(for_one.ravel())
-                    owners.append(np.repeat(rows, length - 1 - i))
-                    if sum(map(len, keys)) > 200_000:
-                        yield _taken(batch, keys, owners)
-                        keys, owners = [], []
-            if keys:
-                yield _taken(batch, keys, owners)
-
-    return classes.select("rep", "n", "p1", "p2", "elements").mapInArrow(run, f"pair_key bigint, rep {kind}, n int, p1 bigint, p2 bigint")
-
+            for buckets, shared, used in ((1, 2, (sizes > 1) & (sizes <= both)), (shared_large - 1, shared_large, sizes >= LARGE)):
+                lengths = np.where(used, np.minimum(sizes, sizes - need + shared), 0)
+                for length in np.unique(lengths[lengths > 1]).tolist():
+                    rows = np.flatnonzero(lengths == length)
+                    step = max(1, 400_000 // length**2)
+                    for some in (rows[i : i + step] for i in range(0, len(rows), step)):
+                        keys, owners = _pairs_of(values[starts[some][:, None] + np.arange(length)], buckets)
+                        own = pa.array(some[owners])
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(own) for c in ("key", "n", "fp", "pivots"))], ["pair_key", "rep", "n", "fp", "pivots"])
 
-def _taken(batch: pa.RecordBatch, keys: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
-    rows = pa.array(np.concatenate(owners))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(batch.column(c).take(rows) for c in ("rep", "n", "p1", "p2"))], ["pair_key", "rep", "n", "p1", "p2"])
+    return classes.select("key", "n", "fp", "pivots", "elements").mapInArrow(run, f"pair_key bigint, rep {kind}, n int, fp bigint, pivots bigint")
 
 
 def _within(a: str, b: str, threshold: float) -> Column:
-    """Whether no pivot rules the pair out: the largest coordinate difference is within the sets' possible difference."""
+    """Whether the pair may reach the threshold: no pivot rules it out, and then neither do the fingerprints."""
     slack = F.floor((F.col(f"{a}.n") + F.col(f"{b}.n")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-9))
-    differences = [
-        F.abs(F.shiftrightunsigned(f"{a}.{word}", 8 * i).bitwiseAND(255) - F.shiftrightunsigned(f"{b}.{word}", 8 * i).bitwiseAND(255))
-        for word in ("p1", "p2")
-        for i in range(PIVOTS // 2)
-    ]
-    return F.greatest(*differences) <= slack
+    part = lambda side, i: F.shiftrightunsigned(f"{side}.pivots", PIVOT_BITS * i).bitwiseAND(2**PIVOT_BITS - 1)
+    by_pivots = F.greatest(*(F.abs(part(a, i) - part(b, i)) for i in range(PIVOTS))) <= slack
+    return by_pivots & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= slack)
 
 
 def classes_and_links(df: DataFrame, key: str = "question_id", stem: str = "stem", options: str = "options", threshold: float = THRESHOLD, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
-    """Membership (key, rep) of every record, and links (rep_a, rep_b) between class representatives, rep_a < rep_b."""
+    """Membership (key, rep, n) of every record, and links (rep_a, rep_b) between class representatives, rep_a < rep_b."""
     sketched = stash(sketches(spread(df.select(key, stem, options)), key, stem, options), "sketches")
     named = ["n", "k1", "k2"]
     reps = sketched.groupBy(*named).agg(F.min("key").alias("rep"))
-    members = sketched.select("key", *named).distinct().join(reps, named).select(F.col("key"), "rep", "n")
-    classes = stash(sketched.join(reps.where("n > 0"), named).where("key = rep").dropDuplicates(["rep"]).select("rep", "n", "p1", "p2", "elements"), "classes")
-    total = classes.count()
+    members = sketched.select("key", *named).distinct().join(reps, named).select("key", "rep", "n")
+    total = sketched.count()
     frequent = {}
     if total > 2 * rare:
-        counted = classes.select(F.explode("elements").alias("e")).groupBy("e").count().where(F.col("count") > total / rare)
+        counted = sketched.select(F.explode("elements").alias("e")).groupBy("e").count().where(F.col("count") > total / rare)
         frequent = {r["e"]: r["count"] for r in counted.collect()}
+    classes = sketched.join(reps.where("n > 0").select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"])
     keyed = pair_keys(classes, frequent, threshold)
     a, b = keyed.alias("a"), keyed.alias("b")
+    near = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9
     candidates = (
-        a.join(b, (F.col("a.pair_key") == F.col("b.pair_key")) & (F.col("a.rep") < F.col("b.rep")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9) & _within("a", "b", threshold))
+        a.join(b, (F.col("a.pair_key") == F.col("b.pair_key")) & (F.col("a.rep") < F.col("b.rep")) & near & _within("a", "b", threshold))
         .select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"))
         .distinct()
     )
-    sets = classes.select("rep", "n", "elements")
-    left = sets.select(F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("elements").alias("e_a"))
-    right = sets.select(F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("elements").alias("e_b"))
+    left = sketched.select(F.col("key").alias("rep_a"), F.col("n").alias("n_a"), F.col("elements").alias("e_a"))
+    right = sketched.select(F.col("key").alias("rep_b"), F.col("n").alias("n_b"), F.col("elements").alias("e_b"))
     shared = F.size(F.array_intersect("e_a", "e_b"))
-    links = candidates.join(left, "rep_a").join(right, "rep_b").where(shared >= (F.col("n_a") + F.col("n_b") - shared) * threshold - 1e-9).select("rep_a", "rep_b")
-    return members, links
+    enough = shared >= (F.col("n_a") + F.col("n_b") - shared) * threshold - 1e-9
+    return members, candidates.join(left, "rep_a").join(right, "rep_b").where(enough).select("rep_a", "rep_b").distinct()
 
 
 def pairs(df: DataFrame, key: str = "question_id", stem: str = "stem", options: str = "options", threshold: float = THRESHOLD) -> DataFrame:

@@ -67,7 +67,9 @@ def pack_documents(df: DataFrame, text: str = "text", key: str = "doc_id", capac
     groups = max(1, -(-df.select(key).count() // group_rows))
     kind = df.schema[key].dataType.simpleString()
     sized = tokens.count_tokens(spread(df.select(key, text)), text, key, rank_file).where("tokens > 0")
-    dealt = sized.dropDuplicates([key]).withColumn("grp", F.pmod(F.xxhash64(key), F.lit(groups)))
+    # A stated number of partitions: the rows are few bytes but much work, and would else be coalesced into few tasks.
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, min(groups, 10_000))
+    dealt = sized.dropDuplicates([key]).withColumn("grp", F.pmod(F.xxhash64(key), F.lit(groups))).repartition(tasks, "grp")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         grp = int(pdf["grp"].iloc[0])
