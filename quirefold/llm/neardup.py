@@ -162,12 +162,12 @@ def pair_keys(classes: DataFrame, frequent: dict[int, int], threshold: float) ->
     return classes.select("key", "n", "fp", "pivots", "elements").mapInArrow(run, f"pair_key bigint, rep {kind}, n int, fp bigint, pivots bigint")
 
 
-def _within(a: str, b: str, threshold: float) -> Column:
+def _within(threshold: float) -> Column:
     """Whether the pair may reach the threshold: no pivot rules it out, and then neither do the fingerprints."""
-    slack = F.floor((F.col(f"{a}.n") + F.col(f"{b}.n")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-9))
-    part = lambda side, i: F.shiftrightunsigned(f"{side}.pivots", PIVOT_BITS * i).bitwiseAND(2**PIVOT_BITS - 1)
-    by_pivots = F.greatest(*(F.abs(part(a, i) - part(b, i)) for i in range(PIVOTS))) <= slack
-    return by_pivots & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= slack)
+    slack = F.floor((F.col("n_a") + F.col("n_b")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-9))
+    part = lambda side, i: F.shiftrightunsigned(f"pivots_{side}", PIVOT_BITS * i).bitwiseAND(2**PIVOT_BITS - 1)
+    by_pivots = F.greatest(*(F.abs(part("a", i) - part("b", i)) for i in range(PIVOTS))) <= slack
+    return by_pivots & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= slack)
 
 
 def classes_and_links(df: DataFrame, key: str = "question_id", stem: str = "stem", options: str = "options", threshold: float = THRESHOLD, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
@@ -183,13 +183,11 @@ def classes_and_links(df: DataFrame, key: str = "question_id", stem: str = "stem
         frequent = {r["e"]: r["count"] for r in counted.collect()}
     classes = sketched.join(reps.where("n > 0").select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"])
     keyed = pair_keys(classes, frequent, threshold)
-    a, b = keyed.alias("a"), keyed.alias("b")
-    near = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9
-    candidates = (
-        a.join(b, (F.col("a.pair_key") == F.col("b.pair_key")) & (F.col("a.rep") < F.col("b.rep")) & near & _within("a", "b", threshold))
-        .select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"))
-        .distinct()
-    )
+    # Both sides rename the same rows, so that they share one exchange; a plain self-join would make the keys twice.
+    columns = ("pair_key", "rep", "n", "fp", "pivots")
+    a, b = (keyed.select(*(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "ab")
+    near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9
+    candidates = a.join(b, (F.col("pair_key_a") == F.col("pair_key_b")) & (F.col("rep_a") < F.col("rep_b")) & near & _within(threshold)).select("rep_a", "rep_b").distinct()
     left = sketched.select(F.col("key").alias("rep_a"), F.col("n").alias("n_a"), F.col("elements").alias("e_a"))
     right = sketched.select(F.col("key").alias("rep_b"), F.col("n").alias("n_b"), F.col("elements").alias("e_b"))
     shared = F.size(F.array_intersect("e_a", "e_b"))
