@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import lookalike, neardup, packing, tokens
+from quirefold.llm import charset, lookalike, neardup, packing, tokens
 from quirefold.session import spread, table
 
 ORACLES: dict[str, str] = {}
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charset.found(table(spark, sf_dir, "positioned_item"), table(spark, sf_dir, "question"), table(spark, sf_dir, "font_ref"))
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charset.repaired(table(spark, sf_dir, "positioned_item"), table(spark, sf_dir, "question"), table(spark, sf_dir, "font_ref")).distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.pairs(table(spark, sf_dir, "question"))
 
@@ -40,4 +48,4 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p7_containers(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_groups, p5_found, p5_forms, p6_ids, p7_containers, p7_fill)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p4_found, p4_groups, p5_found, p5_forms, p6_ids, p7_containers, p7_fill)}
