@@ -183,15 +183,14 @@ def classes_and_links(df: DataFrame, key: str = "question_id", stem: str = "stem
         frequent = {r["e"]: r["count"] for r in counted.collect()}
     classes = sketched.join(reps.where("n > 0").select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"])
     keyed = pair_keys(classes, frequent, threshold)
-    # Both sides rename the same rows, so that they share one exchange; a plain self-join would make the keys twice.
     columns = ("pair_key", "rep", "n", "fp", "pivots")
     a, b = (keyed.select(*(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "ab")
     near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9
     candidates = a.join(b, (F.col("pair_key_a") == F.col("pair_key_b")) & (F.col("rep_a") < F.col("rep_b")) & near & _within(threshold)).select("rep_a", "rep_b").distinct()
-    left = sketched.select(F.col("key").alias("rep_a"), F.col("n").alias("n_a"), F.col("elements").alias("e_a"))
-    right = sketched.select(F.col("key").alias("rep_b"), F.col("n").alias("n_b"), F.col("elements").alias("e_b"))
-    shared = F.size(F.array_intersect("e_a", "e_b"))
-    enough = shared >= (F.col("n_a") + F.col("n_b") - shared) * threshold - 1e-9
+    # The columns of both sides are those that `classes` shuffles by key, so that one exchange serves all three.
+    left, right = (sketched.select(F.col("key").alias(f"rep_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "fp", "pivots", "elements"))) for side in "ab")
+    shared = F.size(F.array_intersect("elements_a", "elements_b"))
+    enough = _within(threshold) & (shared >= (F.col("n_a") + F.col("n_b") - shared) * threshold - 1e-9)
     return members, candidates.join(left, "rep_a").join(right, "rep_b").where(enough).select("rep_a", "rep_b").distinct()
 
 
