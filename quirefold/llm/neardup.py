@@ -182,7 +182,8 @@ def classes_and_links(df: DataFrame, key: str = "question_id", stem: str = "stem
         counted = sketched.select(F.explode("elements").alias("e")).groupBy("e").count().where(F.col("count") > total / rare)
         frequent = {r["e"]: r["count"] for r in counted.collect()}
     classes = sketched.join(reps.where("n > 0").select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"])
-    keyed = pair_keys(classes, frequent, threshold)
+    # Written once: over two Python steps the optimiser makes the keys, and shuffles them, for each side of the join.
+    keyed = stash(pair_keys(classes, frequent, threshold), "keys")
     columns = ("pair_key", "rep", "n", "fp", "pivots")
     a, b = (keyed.select(*(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "ab")
     near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9
