@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import charset, lookalike, neardup, packing, tokens
+from quirefold.llm import charset, lookalike, neardup, packing, scannoise, tokens
 from quirefold.session import spread, table
 
 ORACLES: dict[str, str] = {}
@@ -20,6 +20,14 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charset.repaired(table(spark, sf_dir, "positioned_item"), table(spark, sf_dir, "question"), table(spark, sf_dir, "font_ref")).distinct()
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scannoise.Repair(table(spark, sf_dir, "text_line"), table(spark, sf_dir, "question")).found()
+
+
+def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scannoise.Repair(table(spark, sf_dir, "text_line"), table(spark, sf_dir, "question")).texts()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.pairs(table(spark, sf_dir, "question"))
 
@@ -48,4 +56,4 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p7_containers(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p4_found, p4_groups, p5_found, p5_forms, p6_ids, p7_containers, p7_fill)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_texts, p4_found, p4_groups, p5_found, p5_forms, p6_ids, p7_containers, p7_fill)}
