@@ -27,5 +27,60 @@ TOKENS = {
     "²": "\u2022", "z": "\u2018", "Z": "\u2019", "{": "\u0da5", "_": "\u0dd3",
 }
 #: The fonts that use the table.
-FONTS = ("FMAbhayax", "FMAbabldBold", "FMSamanthax", "FMDeranax", "FMGanganeex", "FMAbhaya")
+FONTS = ("FMAbhayax", "FMAbabldBold", "FMSamanthax", "FMDeranax", "FMGanganeex", "FMEmaneex")
 UNMAPPED = "\u27e8?\u27e9"
+
+# Classes of signs, and pairs of signs that make one, in the order in which they are replaced.
+_PREFIX = "ෙේෛ"
+_CONSONANT = "ක-ෆ"
+_MARK = ""
+PAIRS = (
+    ("ේ", "ේ"), ("ො", "ො"), ("ෞ", "ෞ"), ("ේා", "ෝ"),
+    ("ෙ", "ෝ"), ("ෙෙ", "ෛ"), ("", "ා"),
+)
+_PASSED = r"[0-9\-\s   -     　﻿]"
+
+#: A prefix vowel run with the consonant cluster that it stands before, or a stretch without prefix vowels.
+_CLUSTER = f"(?s)[{_PREFIX}][^{_CONSONANT}]*(?:[{_CONSONANT}](?:්‍[{_CONSONANT}])*|\\z)|[^{_PREFIX}]+"
+
+
+def token_pattern() -> str:
+    """The regular expression of one token: the two-character ones first, then any character."""
+    return "(?s)" + "|".join(re.escape(t) for t in TOKENS if len(t) == 2) + "|."
+
+
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(token_pattern()), 0)
+
+
+def _table() -> Column:
+    return F.create_map(*(F.lit(x) for x in chain.from_iterable(TOKENS.items())))
+
+
+def convert(text: Column) -> Column:
+    """Legacy text as Unicode: map the tokens, move prefix vowels behind their cluster, join pairs of signs."""
+    table = _table()
+    mapped = F.transform(_tokens(text), lambda t: F.coalesce(F.try_element_at(table, t), F.when(t.rlike(f"^{_PASSED}\\z"), t).otherwise(F.lit(UNMAPPED))))
+    clusters = F.regexp_extract_all(F.array_join(mapped, ""), F.lit(_CLUSTER), 0)
+    moved = F.transform(clusters, lambda s: F.concat(F.regexp_replace(s, f"[{_PREFIX}]", ""), F.regexp_replace(s, f"[^{_PREFIX}]", "")))
+    out = F.array_join(moved, "")
+    for pair, sign in PAIRS:
+        out = F.replace(out, F.lit(pair), F.lit(sign))
+    return F.regexp_replace(out, f"([ා-ෟ])(්‍[{_CONSONANT}])", "$2$1")
+
+
+def unmapped(text: Column) -> Column:
+    """How many characters of a legacy text have no token."""
+    table = _table()
+    return F.size(F.filter(_tokens(text), lambda t: F.try_element_at(table, t).isNull() & ~t.rlike(f"^{_PASSED}\\z"))).cast("bigint")
+
+
+def strip_prefix(font: Column) -> Column:
+    """A font name without the subset prefix of six capitals."""
+    return F.regexp_replace(font, r"^[A-Z]{6}\+", "")
+
+
+def uses_table(text: Column, font: Column) -> Column:
+    """Whether a fragment is legacy-encoded: a known or FM font, and no Sinhala character in the text. Null fonts are not."""
+    name = strip_prefix(font)
+    return F.coalesce((name.isin(*FONTS) | name.rlike("(?i)^FM")) & ~text.rlike("[඀-෿]"), F.lit(False))

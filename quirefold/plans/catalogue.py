@@ -5,9 +5,238 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quirefold.operators import packed
-from quirefold.session import table
+from quirefold.functions import legacy
+from quirefold.functions import text as T
+from quirefold.operators import answers, audit, classify, cleanse, export, geometry, lines, packed, pages, questions, sessions
+from quirefold.plans import assemble as plan
+from quirefold.plans.oracles import ORACLES
+from quirefold.session import spread, table
+
+#: A page height in points, for the queries over tables that have none.
+PAGE_HEIGHT = 842.0
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleanse.once(table(spark, sf_dir, "positioned_item"), "item_id")
+
+
+def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.latest(table(spark, sf_dir, "exam_session"))
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleanse.once(table(spark, sf_dir, "question"), "question_id")
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleanse.once(table(spark, sf_dir, "image_region"), "region_id")
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = cleanse.once(table(spark, sf_dir, "raw_question"), "rq_id")
+    return raw.select("rq_id", "session_id", "page_index", "stem", "options", *(F.col(f"bbox.{c}").alias(c) for c in "xywh"))
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleanse.once(table(spark, sf_dir, "text_line").where("source = 'ocr'"), "line_id")
+
+
+def _sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = _latest(spark, sf_dir).where("NOT coalesce(has_no_answer_sheet, false)").select("session_id", F.col("answer_page").alias("page_index"))
+    return _items(spark, sf_dir).join(chosen, ["session_id", "page_index"], "left_semi")
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.label_answers(answers.integers(_sheet(spark, sf_dir)))
+
+
+def text_runs(spark, sf_dir):
+    return cleanse.text_runs(_items(spark, sf_dir)).select("item_id", "str", "x", "y", "w", "h", "font")
+
+
+def watermarks(spark, sf_dir):
+    return cleanse.watermarks(_items(spark, sf_dir))
+
+
+def watermark_strip(spark, sf_dir):
+    return cleanse.strip_watermarks(_items(spark, sf_dir)).select("item_id", "session_id", "page_index", "str")
+
+
+def page_stats(spark, sf_dir):
+    return pages.stats(_items(spark, sf_dir))
+
+
+def page_needs_ocr(spark, sf_dir):
+    return pages.needs_recognition(table(spark, sf_dir, "text_line"), _items(spark, sf_dir))
+
+
+def suggest_question_pages(spark, sf_dir):
+    return pages.question_pages(page_stats(spark, sf_dir))
+
+
+def suggest_answer_page(spark, sf_dir):
+    return pages.answer_page(page_stats(spark, sf_dir))
+
+
+def ocr_clean(spark, sf_dir):
+    return _scanned(spark, sf_dir).select("line_id", cleanse.clean_recognised(F.col("text")).alias("text"))
+
+
+def ocr_to_points(spark, sf_dir):
+    px, top = lambda c: F.col(f"bbox.{c}") * 4, F.lit(PAGE_HEIGHT) * 4 - F.col("bbox.y") * 4
+    words = _scanned(spark, sf_dir).select("line_id", "text", px("x").alias("x0"), (top - px("h")).alias("y0"), (px("x") + px("w")).alias("x1"), top.alias("y1"))
+    return cleanse.words_to_items(words, F.lit(PAGE_HEIGHT) * 4).select("line_id", "str", "x", "y", "w", "h", "font")
+
+
+def font_tables(spark, sf_dir):
+    return cleanse.font_tables(table(spark, sf_dir, "positioned_item"))
+
+
+def distinct_fonts(spark, sf_dir):
+    return table(spark, sf_dir, "positioned_item").where("font IS NOT NULL").select(legacy.strip_prefix(F.col("font")).alias("font")).distinct()
+
+
+def legacy_convert(spark, sf_dir):
+    return cleanse.transliterate(_items(spark, sf_dir)).select("item_id", "text", "unmapped")
+
+
+def coverage_ratio(spark, sf_dir):
+    return cleanse.coverage(_items(spark, sf_dir))
+
+
+def _lines(spark, sf_dir):
+    return lines.group_into_lines(_items(spark, sf_dir))
+
+
+def line_groups(spark, sf_dir):
+    return _lines(spark, sf_dir).select("session_id", "page_index", "line_idx", "y", "x", "w", "h", "unmapped", "items")
+
+
+def line_text(spark, sf_dir):
+    return _lines(spark, sf_dir).select("session_id", "page_index", "line_idx", "text", "raw")
+
+
+def question_openers(spark, sf_dir):
+    read = cleanse.once(table(spark, sf_dir, "text_line"), "line_id").where(T.is_opener("text"))
+    return read.select("line_id", T.opener_number("text").alias("number"), T.without_opener("text").alias("rest"))
+
+
+def question_segments(spark, sf_dir):
+    return questions.segments(_lines(spark, sf_dir)).select("session_id", "page_index", "line_idx", "q", "opens")
+
+
+def question_parse(spark, sf_dir):
+    return questions.parse(_lines(spark, sf_dir)).withColumn("options", F.array_join("options", "|"))
+
+
+def legacy_split(spark, sf_dir):
+    return questions.split_legacy(_questions(spark, sf_dir).where("raw_legacy IS NOT NULL"), "question_id").withColumn("options", F.array_join("options", "|"))
+
+
+def classify_questions(spark, sf_dir):
+    return classify.classify(_raw(spark, sf_dir), _images(spark, sf_dir), "rq_id").select("rq_id", "kind")
+
+
+def figure_overlap(spark, sf_dir):
+    return classify.overlapping(_raw(spark, sf_dir), _images(spark, sf_dir), "rq_id")
+
+
+def label_columns(spark, sf_dir):
+    return answers.label_columns(answers.integers(_sheet(spark, sf_dir)))
+
+
+def answer_pairs(spark, sf_dir):
+    return _labelled(spark, sf_dir)
+
+
+def answer_key(spark, sf_dir):
+    return answers.answer_key(_labelled(spark, sf_dir))
+
+
+def answer_unresolved(spark, sf_dir):
+    return answers.unresolved(_labelled(spark, sf_dir))
+
+
+def answer_grid(spark, sf_dir):
+    return answers.grid_size(_labelled(spark, sf_dir))
+
+
+def assemble(spark, sf_dir):
+    found = plan.extract(_items(spark, sf_dir), _images(spark, sf_dir), _latest(spark, sf_dir)).questions
+    return found.withColumns({"options": F.array_join("options", "|"), "flags": F.array_join("flags", "|")})
+
+
+def export_unicode(spark, sf_dir):
+    return export.rows(_questions(spark, sf_dir), "question_id")
+
+
+def export_legacy(spark, sf_dir):
+    return export.rows(_questions(spark, sf_dir), "question_id", "legacy")
+
+
+def kind_counts(spark, sf_dir):
+    return export.kind_counts(_questions(spark, sf_dir))
+
+
+def session_latest(spark, sf_dir):
+    return _latest(spark, sf_dir).select("session_id", "source_name", "step", "answer_page", "saved_at")
+
+
+def session_keep_one(spark, sf_dir):
+    return sessions.keep_only(table(spark, sf_dir, "exam_session"), "s00000001").select("session_id", "saved_at", "step")
+
+
+def selection_key(spark, sf_dir):
+    return _latest(spark, sf_dir).select("session_id", sessions.selection_key(F.col("question_pages"), F.col("answer_page"), F.col("has_no_answer_sheet")).alias("selection_key"))
+
+
+def resume_choice(spark, sf_dir):
+    suggested = suggest_question_pages(spark, sf_dir).groupBy("session_id").agg(F.array_sort(F.collect_list("page_index")).alias("suggested"))
+    sheet = suggest_answer_page(spark, sf_dir).select("session_id", F.col("page_index").alias("sheet"))
+    joined = _latest(spark, sf_dir).join(suggested, "session_id", "left").join(sheet, "session_id", "left")
+    return joined.select("session_id", F.array_join(sessions.resume_pages(F.col("question_pages"), F.col("suggested")), ",").alias("pages"), sessions.resume_answer(F.col("has_no_answer_sheet"), F.col("answer_page"), F.col("sheet")).alias("answer_page"))
+
+
+def range_toggle(spark, sf_dir):
+    chosen = _latest(spark, sf_dir).where("question_pages IS NOT NULL")
+    return chosen.select("session_id", F.array_join(sessions.toggle_range(F.col("question_pages"), F.lit(1), F.lit(4)), ",").alias("pages"))
+
+
+def apply_edits(spark, sf_dir):
+    all_ = _questions(spark, sf_dir)
+    edits = all_.where("kind = 'figure'").select("question_id", F.concat("stem", F.lit(" *")).alias("stem"), F.when(F.col("question_id") % 2 == 0, F.lit(1)).alias("correct_answer"))
+    return sessions.apply_edits(all_, edits, "question_id").select("question_id", "stem", "correct_answer", "edited")
+
+
+def debounced_writes(spark, sf_dir):
+    return sessions.debounced(table(spark, sf_dir, "events"), "user_id", "ts", "value", "event_id", quiet_seconds=86_400)
+
+
+def url_audit(spark, sf_dir):
+    # The texts name no hosts, so each gets two: one made of its source, and one of an asset server.
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" https://"), F.coalesce("source", F.lit("localhost")), F.lit(".net./a http://unpkg.com/"), F.col("doc_id").cast("string"))
+    found = audit.hosts(spread(table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))), "doc_id", "text")
+    return audit.violations(found, spark.createDataFrame([("classroom.net",)], "host string"))
+
+
+def affine_regions(spark, sf_dir):
+    none = F.lit(None).cast(geometry.MATRIX)
+    op = lambda name, m=none: F.struct(F.lit(name).alias("op"), m.alias("m"))
+    zero = F.lit(0.0)
+    ops = F.array(op("save"), op("transform", geometry.matrix(F.lit(1.0), zero, zero, F.lit(1.0), F.col("x"), F.col("y"))), op("transform", geometry.matrix(F.col("w"), zero, zero, F.col("h"), zero, zero)), op("paint"), op("restore"))
+    drawn = _images(spark, sf_dir).where("w IS NOT NULL").select("session_id", "page_index", "region_id", ops.alias("ops"))
+    page = drawn.groupBy("session_id", "page_index").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("region_id", "ops"))), lambda r: r["ops"])).alias("ops"))
+    return page.select("session_id", "page_index", F.explode(geometry.image_boxes(F.col("ops"))).alias("b")).select("session_id", "page_index", *(F.round(f"b.{c}", 6).alias(c) for c in "xywh"))
+
+
+def screen_boxes(spark, sf_dir):
+    return geometry.screen_box(_raw(spark, sf_dir), F.lit(PAGE_HEIGHT)).select("rq_id", "left", "top", "width", "height")
+
+
+def failed_pages(spark, sf_dir):
+    return _latest(spark, sf_dir).select("session_id", F.explode("ocr_failed_pages").alias("page_index")).withColumn("label", (F.col("page_index") + 1).cast("string"))
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, str]]:
@@ -22,5 +251,4 @@ def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.over_tables(packed.unpack, _packed(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_values)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in ORACLES} | {f.__name__: f for f in (p3_found, p3_values)}
