@@ -48,9 +48,9 @@ def form_sql(column: str) -> str:
     sql = f"regexp_replace({sql}, '(\\x{{0DCA}})\\x{{200D}}+([\\x{{0D9A}}-\\x{{0DC6}}])', '\\1{KEPT}\\2', 'g')"
     sql = f"nfc_normalize(translate({sql}, {_quoted(KEPT + JOINER)}, {_quoted(JOINER)}))"
     sinhala = f"CASE WHEN regexp_matches(w, '[{MALAYALAM}]') AND regexp_matches(w, '[\\x{{0D80}}-\\x{{0DFF}}]') THEN translate(w, {_quoted(MALAYALAM)}, {_quoted(MALAYALAM_AS)})"
-    latin = f"WHEN regexp_matches(w, '[{STANDINS}]') AND (regexp_matches(w, '[A-Za-z]') OR (regexp_full_match(w, '[{CYRILLIC}]+') AND regexp_matches(t, '(^|[^\\[])\\b[A-Za-z]{{2}}'))) THEN translate(w, {_quoted(STANDINS)}, {_quoted(STANDINS_AS)}) ELSE w END"
-    words = f"list_transform(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}{JOINER}]+|[^\\p{{L}}\\p{{M}}{JOINER}]+'), lambda w: {sinhala} {latin})"
-    return f"(SELECT CASE WHEN regexp_matches(t, '[{MALAYALAM}{STANDINS}]') THEN array_to_string({words}, '') ELSE t END FROM (SELECT {sql} AS t))"
+    latin = f"WHEN regexp_matches(w, '[{STANDINS}]') AND (regexp_matches(w, '[A-Za-z]') OR (regexp_full_match(w, '[{CYRILLIC}]+') AND regexp_matches(plain_, '(^|[^\\[])\\b[A-Za-z]{{2}}'))) THEN translate(w, {_quoted(STANDINS)}, {_quoted(STANDINS_AS)}) ELSE w END"
+    words = f"list_transform(regexp_extract_all(plain_, '[\\p{{L}}\\p{{M}}{JOINER}]+|[^\\p{{L}}\\p{{M}}{JOINER}]+'), lambda w: {sinhala} {latin})"
+    return f"(SELECT CASE WHEN regexp_matches(plain_, '[{MALAYALAM}{STANDINS}]') THEN array_to_string({words}, '') ELSE plain_ END FROM (SELECT {sql} AS plain_))"
 
 
 #: Characters any of which a text must hold, or a combining mark, to differ from its form. Other texts are their form.

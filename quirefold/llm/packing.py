@@ -9,7 +9,7 @@ packed on its own: no task ever holds more than a group, and only (key, tokens)
 sequences as its tokens need at least, and further ones only where a document finds no room. A document of more tokens
 than the capacity is split: its full pieces fill containers of their own and its rest is packed like any other.
 
-Defined results: a null or empty text has no tokens and no row; a repeated key counts once; each token of each other text
+Defined results: a null or empty text has no tokens and no row, nor has a row without a key; a repeated key counts once; each token of each other text
 lies in exactly one row's [tok_start, tok_end).
 """
 
@@ -66,7 +66,7 @@ def pack_documents(df: DataFrame, text: str = "text", key: str = "doc_id", capac
     """One row (container, key, tok_start, tok_end, tokens) for each document, or piece of a document over the capacity."""
     groups = max(1, -(-df.select(key).count() // group_rows))
     kind = df.schema[key].dataType.simpleString()
-    sized = tokens.count_tokens(spread(df.select(key, text)), text, key, rank_file).where("tokens > 0")
+    sized = tokens.count_tokens(spread(df.select(key, text).where(F.col(key).isNotNull())), text, key, rank_file).where("tokens > 0")
     # A stated number of partitions: the rows are few bytes but much work, and would else be coalesced into few tasks.
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, min(groups, 10_000))
     dealt = sized.dropDuplicates([key]).withColumn("grp", F.pmod(F.xxhash64(key), F.lit(groups))).repartition(tasks, "grp")

@@ -221,10 +221,12 @@ def training_rows(documents: DataFrame, labels: DataFrame, reference: DataFrame,
 def classify(documents: DataFrame, labels: DataFrame, reference: DataFrame, threshold: float = THRESHOLD, sample_labels: int = SAMPLE_LABELS) -> DataFrame:
     """(doc_id, subject, score): the subjects of every document whose output passes the threshold."""
     subjects = sorted(r["subject"] for r in reference.select("subject").distinct().collect() if r["subject"])
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    if not subjects:
+        return documents.sparkSession.createDataFrame([], f"doc_id {kind}, subject string, score double")
     tasks = documents.sparkSession.sparkContext.defaultParallelism
     labelled = stash(training_rows(documents, labels, reference, subjects, sample_labels).repartition(tasks), "labelled")
     model = Model(subjects).fit(labelled)
-    kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
