@@ -17,14 +17,17 @@ MIN_REPEATS, LEAST_LENGTH = 4, 12
 OCR_SCALE = 4.0
 
 
-def once(df: DataFrame, key: str) -> DataFrame:
-    """The rows of a table without repeated deliveries: of each key the first that was loaded.
+def once(df: DataFrame, key: str, together: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of a table without repeated deliveries: of each key the first that was loaded; rows without a key go.
 
-    The key's minimum row is kept by an aggregate, so that only one row of a key leaves each task.
+    With `together`, columns on which deliveries of a key agree, rows are partitioned by those and the aggregate runs
+    inside, so that windows and groups over the same columns need no further shuffle.
     """
-    others = [c for c in df.columns if c not in (key, "loaded_at")]
+    if together:
+        df = df.repartition(*together)
+    others = [c for c in df.columns if c not in (key, "loaded_at", *together)]
     first = [F.col("loaded_at")] if "loaded_at" in df.columns else []
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*others), F.struct(*first, *[F.col(c) for c in others if not dict(df.dtypes)[c].startswith("map")])).alias("r")).select(key, "r.*")
+    return df.where(F.col(key).isNotNull()).groupBy(*together, key).agg(F.min_by(F.struct(*others), F.struct(*first, *[F.col(c) for c in others if not dict(df.dtypes)[c].startswith("map")])).alias("r")).select(*together, key, "r.*")
 
 
 def text_runs(items: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ PAGE_HEIGHT = 842.0
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleanse.once(table(spark, sf_dir, "positioned_item"), "item_id")
+    return cleanse.once(table(spark, sf_dir, "positioned_item"), "item_id", cleanse.PAGE)
 
 
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
