@@ -35,20 +35,20 @@ WIDE, WIDE_AS = codepoints(0xFF01, 0xFF5E), codepoints(0x21, 0x7E)
 STANDINS, STANDINS_AS = CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS
 
 
-def _quoted(text: str) -> str:
+def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
 def form_sql(column: str) -> str:
     """SQL of the consistent form of a column; regular expressions are RE2."""
-    sql = f"translate({column}, {_quoted(WIDE + SPACES)}, {_quoted(WIDE_AS + ' ' * len(SPACES))})"
+    sql = f"translate({column}, {quoted(WIDE + SPACES)}, {quoted(WIDE_AS + ' ' * len(SPACES))})"
     for ligature, letters in LIGATURES.items():
-        sql = f"replace({sql}, {_quoted(ligature)}, {_quoted(letters)})"
-    sql = f"translate({sql}, {_quoted(INVISIBLE)}, '')"
+        sql = f"replace({sql}, {quoted(ligature)}, {quoted(letters)})"
+    sql = f"translate({sql}, {quoted(INVISIBLE)}, '')"
     sql = f"regexp_replace({sql}, '(\\x{{0DCA}})\\x{{200D}}+([\\x{{0D9A}}-\\x{{0DC6}}])', '\\1{KEPT}\\2', 'g')"
-    sql = f"nfc_normalize(translate({sql}, {_quoted(KEPT + JOINER)}, {_quoted(JOINER)}))"
-    sinhala = f"CASE WHEN regexp_matches(w, '[{MALAYALAM}]') AND regexp_matches(w, '[\\x{{0D80}}-\\x{{0DFF}}]') THEN translate(w, {_quoted(MALAYALAM)}, {_quoted(MALAYALAM_AS)})"
-    latin = f"WHEN regexp_matches(w, '[{STANDINS}]') AND (regexp_matches(w, '[A-Za-z]') OR (regexp_full_match(w, '[{CYRILLIC}]+') AND regexp_matches(plain_, '(^|[^\\[])\\b[A-Za-z]{{2}}'))) THEN translate(w, {_quoted(STANDINS)}, {_quoted(STANDINS_AS)}) ELSE w END"
+    sql = f"nfc_normalize(translate({sql}, {quoted(KEPT + JOINER)}, {quoted(JOINER)}))"
+    sinhala = f"CASE WHEN regexp_matches(w, '[{MALAYALAM}]') AND regexp_matches(w, '[\\x{{0D80}}-\\x{{0DFF}}]') THEN translate(w, {quoted(MALAYALAM)}, {quoted(MALAYALAM_AS)})"
+    latin = f"WHEN regexp_matches(w, '[{STANDINS}]') AND (regexp_matches(w, '[A-Za-z]') OR (regexp_full_match(w, '[{CYRILLIC}]+') AND regexp_matches(plain_, '(^|[^\\[])\\b[A-Za-z]{{2}}'))) THEN translate(w, {quoted(STANDINS)}, {quoted(STANDINS_AS)}) ELSE w END"
     words = f"list_transform(regexp_extract_all(plain_, '[\\p{{L}}\\p{{M}}{JOINER}]+|[^\\p{{L}}\\p{{M}}{JOINER}]+'), lambda w: {sinhala} {latin})"
     return f"(SELECT CASE WHEN regexp_matches(plain_, '[{MALAYALAM}{STANDINS}]') THEN array_to_string({words}, '') ELSE plain_ END FROM (SELECT {sql} AS plain_))"
 

@@ -56,7 +56,7 @@ def _words_sql() -> str:
     """SQL: (key, words) of the batch, words as hashes of the consistent form of stem and options."""
     shape = lambda c: f"CASE WHEN regexp_matches({c}, '{lookalike.SUSPECT}') THEN {lookalike.form_sql(c)} ELSE {c} END"
     text = "concat_ws(' ', stem, array_to_string(list_filter(options, lambda o: o IS NOT NULL), ' '))"
-    edge = lookalike._quoted(EDGE)
+    edge = lookalike.quoted(EDGE)
     trimmed = f"list_transform(regexp_split_to_array(lower(form), '\\s+'), lambda w: trim(w, {edge}))"
     return f"SELECT key, list_transform(list_filter({trimmed}, lambda w: w <> ''), lambda w: hash(w)) AS words FROM (SELECT key, {shape('text')} AS form FROM (SELECT key, {text} AS text FROM batch))"
 
