@@ -33,6 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not at:
         at = f"file://{tempfile.mkdtemp(prefix='quirefold-')}"
         spark.conf.set("spark.checkpoint.dir", at)
+        atexit.register(_remove, spark, at)
     return at
 
 
