@@ -5,9 +5,10 @@ one document, so a document of n tokens costs linear * n + quadratic * n * n. Do
 of tokens and each goes to the sequence of the lowest cost that has room for it.
 
 Documents are first dealt at random (by a hash of their key) into groups of about `group_rows` rows, and each group is
-packed on its own: no task ever holds more than a group, and only (key, tokens) is shuffled. A group opens as many
-sequences as its tokens need at least, and further ones only where a document finds no room. A document of more tokens
-than the capacity is split: its full pieces fill containers of their own and its rest is packed like any other.
+packed on its own: no task ever holds more than a group, and only (key, tokens) is shuffled. A sequence is opened only
+where a document finds room in none; opening as many as the tokens need beforehand spreads middling documents so evenly
+that too many sequences end with room that nothing fits. A document of more tokens than the capacity is split: its full
+pieces fill containers of their own and its rest is packed like any other.
 
 Defined results: a null or empty text has no tokens and no row, nor has a row without a key; a repeated key counts once; each token of each other text
 lies in exactly one row's [tok_start, tok_end).
@@ -42,8 +43,8 @@ def pack(sizes: list[tuple], capacity: int = CAPACITY, linear: float = LINEAR, q
         if n > start:
             open_items.append((n - start, start, key))
     open_items.sort(key=lambda x: (-x[0], x[2], x[1]))
-    heap = [(0.0, whole + i, capacity) for i in range(-(-sum(x[0] for x in open_items) // capacity))]
-    opened = whole + len(heap)
+    heap: list[tuple[float, int, int]] = []
+    opened = whole
     least = max(1, open_items[-1][0]) if open_items else 1
     for n, start, key in open_items:
         passed = []
