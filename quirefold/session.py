@@ -58,6 +58,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def hashed_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """About `most` rows, at most so many, or all if there are no more: those whose key hashes low, spread over the table.
+
+    Unlike a top-n by hash, whose tasks each send n rows to the driver, only sampled rows leave the tasks.
+    """
+    count = df.count()
+    if count <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * 0.97 * most / count)).limit(most)
+
+
 def codepoints(first: int, last: int) -> str:
     """All characters from first to last."""
     return "".join(map(chr, range(first, last + 1)))
