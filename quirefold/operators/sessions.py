@@ -52,3 +52,34 @@ def debounced(events: DataFrame, key: str, ts: str, value: str, tie: str, quiet_
     pause = F.unix_micros(F.lead(ts).over(order).cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
     return events.withColumn("p", pause).where(F.col("p").isNull() | (F.col("p") > quiet_seconds * 1e6)).select(key, F.col(ts).alias("burst_end"), F.col(value).alias("value"))
 
+
+
+def set_answer(questions: DataFrame, key: DataFrame, unresolved: DataFrame, session_id: str, number: int, answer: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions, key (session_id, label, answer) and unresolved labels after one answer was set, or cleared with None.
+
+    All questions of that number take it and count as edited; the label is no longer unresolved.
+    """
+    mine = (F.col("session_id") == session_id) & (F.col("number") == number)
+    value = F.lit(answer).cast("int")
+    asked = questions.withColumns({"correct_answer": F.when(mine, value).otherwise(F.col("correct_answer")), "edited": F.when(mine, F.lit(True)).otherwise(F.col("edited"))})
+    label = (F.col("session_id") == session_id) & (F.col("label") == number)
+    others = key.where(~label).select("session_id", "label", "answer")
+    if answer is not None:
+        others = others.unionByName(key.sparkSession.createDataFrame([(session_id, number, answer)], "session_id string, label bigint, answer bigint"))
+    return asked, others, unresolved.where(~label)
+
+
+class ResultCache:
+    """Results by selection key: the same selection gives the same DataFrame, another one drops the last."""
+
+    def __init__(self):
+        self.key, self.result = None, None
+
+    def get(self, key: str | None, run) -> DataFrame | None:
+        if key is None:
+            return None
+        if key != self.key:
+            if self.result is not None:
+                self.result.unpersist()
+            self.key, self.result = key, run().cache()
+        return self.result

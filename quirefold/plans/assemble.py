@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.operators import answers, classify, cleanse, lines, questions
+from quirefold.operators import answers, classify, cleanse, lines, pages, questions
 
 
 @dataclass
@@ -19,6 +19,17 @@ class Extraction:
     unresolved: DataFrame
 
 
+def with_recognised(items: DataFrame, page_list: DataFrame, recognised: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fragments with the pages that hold too few of them replaced by what a recogniser read, and the pages it read.
+
+    A page that it failed on, or was not given, has no fragments; recognised has the columns of items.
+    """
+    page = list(cleanse.PAGE)
+    few = pages.needs_recognition(page_list, items).where("needs_ocr").select(*page)
+    read = recognised.join(few, page, "left_semi")
+    return items.join(few, page, "left_anti").select(*items.columns).unionByName(read.select(*items.columns)), read.select(*page).distinct()
+
+
 def extract(items: DataFrame, images: DataFrame, sessions: DataFrame, scanned_pages: DataFrame | None = None) -> Extraction:
     """Questions of the pages that each session selected, with kind, flags and answer.
 

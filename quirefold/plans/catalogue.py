@@ -168,6 +168,16 @@ def assemble(spark, sf_dir):
     return found.withColumns({"options": F.array_join("options", "|"), "flags": F.array_join("flags", "|")})
 
 
+def assemble_scanned(spark, sf_dir):
+    """Questions of the scanned pages: their lines stand for what a recogniser read."""
+    read = _scanned(spark, sf_dir)
+    box = [F.col(f"bbox.{c}").alias(c) for c in ("x", "w", "h")]
+    words = read.select("line_id", "session_id", "page_index", "line_idx", "text", "y", *box).select("session_id", "page_index", F.col("line_id").alias("item_id"), F.col("line_idx").alias("item_idx"), cleanse.clean_recognised(F.col("text")).alias("str"), "x", "y", "w", "h", F.lit("OCR").alias("font"))
+    items, scanned = plan.with_recognised(_items(spark, sf_dir), read, words)
+    found = plan.extract(items, _images(spark, sf_dir), _latest(spark, sf_dir), scanned).questions.where(F.array_contains("flags", "ocr"))
+    return found.select("session_id", "id", "page_index", "q", "number", "stem", F.array_join("options", "|").alias("options"), "kind", F.array_join("flags", "|").alias("flags"), "correct_answer")
+
+
 def export_unicode(spark, sf_dir):
     return export.rows(_questions(spark, sf_dir), "question_id")
 

@@ -198,6 +198,15 @@ ORACLES = {
     "assemble": _w(ITEMS, CONVERTED, MARKS, BARE, LATEST, SELECTED, SHEETS, lines("chosen"), SEGMENTS, PARSED, answers("sheet"), KEY, IMAGES, last=f"""
 SELECT p.session_id, 'p' || p.page_index || '-q' || p.number AS id, p.page_index, p.q::BIGINT AS q, p.number, p.stem, array_to_string(p.options, '|') AS options, p.x, p.y, p.w, p.h, {kind('p.stem', 'p.options', OVERLAP)} AS kind,
   CASE WHEN p.unmapped > 0 THEN 'unmapped-glyph' ELSE '' END AS flags, k.answer::INTEGER AS correct_answer, p.raw_legacy, false AS edited
+FROM parsed p LEFT JOIN keyed k ON k.session_id = p.session_id AND k.label = p.number"""),
+    "assemble_scanned": _w(ITEMS, LATEST, SHEETS, answers("sheet"), KEY, IMAGES, f"""
+scans AS (SELECT DISTINCT ON (line_id) session_id, page_index, line_id AS item_id, line_idx AS item_idx, replace(text, chr(8204), '') AS str, bbox.x AS x, y, bbox.w AS w, bbox.h AS h FROM text_line WHERE source = 'ocr' ORDER BY line_id, loaded_at),
+few AS (SELECT DISTINCT session_id, page_index FROM scans EXCEPT SELECT session_id, page_index FROM items GROUP BY ALL HAVING count(*) >= 10),
+taken AS (SELECT s.*, s.str AS text, 0 AS unmapped FROM scans s JOIN few USING (session_id, page_index)),
+noise AS (SELECT session_id, page_index, {trim('str')} AS t FROM taken WHERE length({trim('str')}) >= 12 GROUP BY ALL HAVING count(*) >= 4),
+chosen AS (SELECT b.* FROM taken b JOIN latest s ON s.session_id = b.session_id AND (s.question_pages IS NULL OR list_contains(s.question_pages, b.page_index))
+  WHERE NOT EXISTS (SELECT 1 FROM noise n WHERE n.session_id = b.session_id AND n.page_index = b.page_index AND n.t = {trim('b.str')}))""", lines("chosen"), SEGMENTS, PARSED, last=f"""
+SELECT p.session_id, 'p' || p.page_index || '-q' || p.number AS id, p.page_index, p.q::BIGINT AS q, p.number, p.stem, array_to_string(p.options, '|') AS options, {kind('p.stem', 'p.options', OVERLAP)} AS kind, 'ocr' AS flags, k.answer::INTEGER AS correct_answer
 FROM parsed p LEFT JOIN keyed k ON k.session_id = p.session_id AND k.label = p.number"""),
     "export_unicode": _w(QUESTIONS, last=_export("stem", "options")),
     "export_legacy": _w(QUESTIONS, last=_export(SPLIT_STEM, SPLIT_OPTIONS)),

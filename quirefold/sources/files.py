@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ITEM = "str string, x double, y double, w double, h double, font string"
@@ -30,6 +30,12 @@ def read_regions(spark: SparkSession, path: str, session_id: str) -> DataFrame:
     return pages.select(F.lit(session_id).alias("session_id"), F.col("page").cast("int").alias("page_index"), F.explode("boxes").alias("b")).select("session_id", "page_index", "b.*")
 
 
+def write_items(items: DataFrame, path: str) -> None:
+    """Write fragments as JSON lines, a folder for each page; fragments of a page stay in order."""
+    order = ["session_id", "page_index", "item_idx"]
+    items.repartition("session_id", "page_index").sortWithinPartitions(*order).write.mode("overwrite").partitionBy("session_id", "page_index").json(path)
+
+
 def accepted_upload(mime_types: list[str]) -> str:
     """`pdf` or `images` for an upload of one PDF or exactly one image; anything else is an error."""
     if len(mime_types) == 1 and mime_types[0] == "application/pdf":
@@ -77,7 +83,7 @@ def failed_pages(adapted: DataFrame) -> DataFrame:
     return adapted.where("status <> 'ok'").select(adapted.columns[0])
 
 
-def resolve_fonts(items: DataFrame, fonts: DataFrame) -> Column | DataFrame:
+def resolve_fonts(items: DataFrame, fonts: DataFrame) -> DataFrame:
     """The fragments with the real name of each internal font id (font_id, name), or the id where there is none."""
     names = fonts.select(F.col("font_id").alias("font"), F.col("name"))
     return items.join(names, "font", "left").withColumn("font", F.coalesce("name", "font")).drop("name")

@@ -118,3 +118,29 @@ def test_empty_tables(spark):
     assert lines.group_into_lines(none).count() == 0
     assert questions.parse(lines.group_into_lines(none)).count() == 0
     assert answers.label_answers(answers.integers(none)).count() == 0
+
+
+def test_workbook_and_written_items(spark, tmp_path):
+    import zipfile
+
+    from quirefold.sources import workbook
+
+    df = spark.createDataFrame([(2, 7, "a & <b>", ["x"], "straight", 1, ""), (1, 3, "first", ["y", "z"], "straight", None, "")], "id int, number int, stem string, options array<string>, kind string, correct_answer int, raw_legacy string")
+    path = str(tmp_path / "q.xlsx")
+    assert workbook.write_workbook(export.rows(df, "id"), path) == 2
+    with zipfile.ZipFile(path) as book:
+        sheet = book.read("xl/worksheets/sheet1.xml").decode()
+    assert sheet.index("first") < sheet.index("a &amp; &lt;b&gt;") and 'width="70"' in sheet
+    files.write_items(items(spark, [("a", 1, 2), ("b", 3, 2)]), str(tmp_path / "items"))
+    assert spark.read.json(str(tmp_path / "items")).count() == 2
+
+
+def test_answers_that_are_set(spark):
+    asked = spark.createDataFrame([("s", 1, None, False), ("s", 2, 3, False), ("t", 1, None, False)], "session_id string, number int, correct_answer int, edited boolean")
+    key = spark.createDataFrame([("s", 2, 3)], "session_id string, label long, answer long")
+    left = spark.createDataFrame([("s", 1)], "session_id string, label long")
+    rows, newkey, newleft = sessions.set_answer(asked, key, left, "s", 1, 4)
+    assert {(r["session_id"], r["number"]): (r["correct_answer"], r["edited"]) for r in rows.collect()} == {("s", 1): (4, True), ("s", 2): (3, False), ("t", 1): (None, False)}
+    assert {(r["label"], r["answer"]) for r in newkey.collect()} == {(2, 3), (1, 4)} and newleft.count() == 0
+    cache = sessions.ResultCache()
+    assert cache.get("a", lambda: asked) is cache.get("a", lambda: key) and cache.get(None, lambda: key) is None
