@@ -134,7 +134,11 @@ _PREPARED: dict[tuple[str, int], tuple[Batch, np.ndarray, np.ndarray]] = {}
 
 def _partial_gradients(run: str, partition: int, batches: Iterator[pa.RecordBatch], parameters) -> pa.RecordBatch:
     key = (run, partition)
-    if key not in _PREPARED:
+    if key in _PREPARED:
+        # The input is read all the same: a worker that leaves some of it unread is not used again, nor what it has prepared.
+        for _ in batches:
+            pass
+    else:
         for other in [k for k in _PREPARED if k[0] != run]:
             del _PREPARED[other]
         table = pa.Table.from_batches(list(batches))
