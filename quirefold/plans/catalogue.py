@@ -191,11 +191,11 @@ def kind_counts(spark, sf_dir):
 
 
 def session_latest(spark, sf_dir):
-    return _latest(spark, sf_dir).select("session_id", "source_name", "step", "answer_page", "saved_at")
+    return _latest(spark, sf_dir).select("session_id", "source_name", "step", "answer_page", F.unix_micros("saved_at").alias("saved_us"))
 
 
 def session_keep_one(spark, sf_dir):
-    return sessions.keep_only(table(spark, sf_dir, "exam_session"), "s00000001").select("session_id", "saved_at", "step")
+    return sessions.keep_only(table(spark, sf_dir, "exam_session"), "s00000001").select("session_id", F.unix_micros("saved_at").alias("saved_us"), "step")
 
 
 def selection_key(spark, sf_dir):
@@ -221,7 +221,7 @@ def apply_edits(spark, sf_dir):
 
 
 def debounced_writes(spark, sf_dir):
-    return sessions.debounced(table(spark, sf_dir, "events"), "user_id", "ts", "value", "event_id", quiet_seconds=86_400)
+    return sessions.debounced(table(spark, sf_dir, "events"), "user_id", "ts", "value", "event_id", quiet_seconds=86_400).withColumn("burst_end", F.unix_micros(F.col("burst_end").cast("timestamp")))
 
 
 def url_audit(spark, sf_dir):

@@ -211,8 +211,8 @@ FROM parsed p LEFT JOIN keyed k ON k.session_id = p.session_id AND k.label = p.n
     "export_unicode": _w(QUESTIONS, last=_export("stem", "options")),
     "export_legacy": _w(QUESTIONS, last=_export(SPLIT_STEM, SPLIT_OPTIONS)),
     "kind_counts": _w(QUESTIONS, last="SELECT kind, count(*) AS questions FROM qs GROUP BY kind"),
-    "session_latest": _w(LATEST, last="SELECT session_id, source_name, step, answer_page, saved_at FROM latest"),
-    "session_keep_one": "SELECT session_id, saved_at, step FROM exam_session WHERE session_id = 's00000001'",
+    "session_latest": _w(LATEST, last="SELECT session_id, source_name, step, answer_page, epoch_us(saved_at) AS saved_us FROM latest"),
+    "session_keep_one": "SELECT session_id, epoch_us(saved_at) AS saved_us, step FROM exam_session WHERE session_id = 's00000001'",
     "selection_key": _w(LATEST, last="SELECT session_id, to_json({'questionPages': question_pages, 'answerPage': answer_page, 'hasNoAnswerSheet': has_no_answer_sheet})::VARCHAR AS selection_key FROM latest"),
     "resume_choice": _w(ITEMS, STATS, LATEST, last="""
 SELECT s.session_id, array_to_string(CASE WHEN coalesce(len(s.question_pages), 0) > 0 THEN s.question_pages ELSE p.pages END, ',') AS pages,
@@ -223,7 +223,7 @@ LEFT JOIN (SELECT session_id, page_index FROM (SELECT *, row_number() OVER (PART
 SELECT session_id, array_to_string(list_sort(CASE WHEN list_contains(question_pages, 4) THEN list_filter(question_pages, lambda p: p NOT BETWEEN 1 AND 4) ELSE list_distinct(list_concat(question_pages, [1, 2, 3, 4])) END), ',') AS pages
 FROM latest WHERE question_pages IS NOT NULL"""),
     "apply_edits": _w(QUESTIONS, "edits AS (SELECT question_id, stem || ' *' AS stem, CASE WHEN question_id % 2 = 0 THEN 1 END AS correct_answer FROM qs WHERE kind = 'figure')", last="SELECT q.question_id, coalesce(e.stem, q.stem) AS stem, coalesce(e.correct_answer, q.correct_answer) AS correct_answer, CASE WHEN e.question_id IS NOT NULL THEN true ELSE q.edited END AS edited FROM qs q LEFT JOIN edits e USING (question_id)"),
-    "debounced_writes": "SELECT user_id, ts AS burst_end, value FROM (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS pause FROM events) WHERE pause IS NULL OR pause > 86400000000",
+    "debounced_writes": "SELECT user_id, epoch_us(ts) AS burst_end, value FROM (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS pause FROM events) WHERE pause IS NULL OR pause > 86400000000",
     "url_audit": _w(HOSTS, last="SELECT host, count(*) AS n, CASE WHEN host IN ('cdn.jsdelivr.net', 'unpkg.com', 'cdnjs.cloudflare.com', 'esm.sh', 'fonts.googleapis.com', 'fonts.gstatic.com', 'raw.githubusercontent.com') THEN 'asset' ELSE 'unknown' END AS reason FROM hosts WHERE host NOT IN ('classroom.net') GROUP BY host"),
     "affine_regions": _w(IMAGES, last="SELECT session_id, page_index, round(least(x, x + w), 6) AS x, round(least(y, y + h), 6) AS y, round(greatest(x, x + w) - least(x, x + w), 6) AS w, round(greatest(y, y + h) - least(y, y + h), 6) AS h FROM imgs WHERE w IS NOT NULL"),
     "screen_boxes": _w(RAW, last="SELECT rq_id, x * 1.4 - 6 AS \"left\", (842.0 - y - 9) * 1.4 - 6 AS top, w * 1.4 + 12 AS width, (h + 9) * 1.4 + 6 + 2 AS height FROM raws"),
