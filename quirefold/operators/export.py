@@ -27,8 +27,12 @@ def rows(questions: DataFrame, key: str, mode: str = "unicode") -> DataFrame:
 
 
 def write(exported: DataFrame, path: str, form: str = "parquet") -> None:
-    """Write the rows in order of number with one of Spark's own formats; ranges of numbers keep the write parallel."""
-    exported.repartitionByRange("number").sortWithinPartitions("number").write.mode("overwrite").format(form).save(path)
+    """Write the rows in order of number with one of Spark's own formats; ranges keep the write parallel.
+
+    Ranges take the key too, since there are few numbers and each may hold very many rows.
+    """
+    order = ["number", exported.columns[0]]
+    exported.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").format(form).save(path)
 
 
 def may_export(unresolved: DataFrame) -> bool:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import is_integer, trim
@@ -35,5 +35,5 @@ def question_pages(page_stats: DataFrame) -> DataFrame:
 def answer_page(page_stats: DataFrame) -> DataFrame:
     """(session_id, page_index): of each session the likely answer page of the highest ratio, the first of equals."""
     likely = page_stats.where((F.col("ints") >= ANSWER_INTEGERS) & (F.col("ratio") >= ANSWER_RATIO))
-    best = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("ratio"), "page_index"))
-    return likely.withColumn("r", best).where("r = 1").select(*PAGE)
+    best = likely.groupBy("session_id").agg(F.max(F.struct("ratio", (-F.col("page_index")).alias("back"))).alias("b"))
+    return best.select("session_id", (-F.col("b.back")).alias("page_index"))

@@ -23,9 +23,15 @@ def selection_key(pages: Column, answer_page: Column, no_sheet: Column) -> Colum
     return F.to_json(F.struct(pages.alias("questionPages"), answer_page.alias("answerPage"), no_sheet.alias("hasNoAnswerSheet")), {"ignoreNullFields": "false"})
 
 
-def resume_pages(prior: Column, suggested: Column) -> Column:
-    """The pages chosen before, or the suggested ones where none were."""
-    return F.when(F.coalesce(F.size(prior), F.lit(0)) > 0, prior).otherwise(suggested)
+def resume_pages(saved: DataFrame, suggested: DataFrame) -> DataFrame:
+    """(session_id, page_index): the pages that each session chose before, or the suggested ones where it chose none.
+
+    Pages stay rows: a bulk session may have more of them than one array should hold.
+    """
+    prior = saved.select("session_id", F.explode("question_pages").alias("page_index"))
+    chose = saved.where(F.coalesce(F.size("question_pages"), F.lit(0)) > 0).select("session_id")
+    others = saved.select("session_id").join(chose, "session_id", "left_anti")
+    return prior.unionByName(suggested.select("session_id", "page_index").join(others, "session_id", "left_semi"))
 
 
 def resume_answer(no_sheet: Column, prior: Column, suggested: Column) -> Column:

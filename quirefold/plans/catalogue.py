@@ -202,11 +202,14 @@ def selection_key(spark, sf_dir):
     return _latest(spark, sf_dir).select("session_id", sessions.selection_key(F.col("question_pages"), F.col("answer_page"), F.col("has_no_answer_sheet")).alias("selection_key"))
 
 
-def resume_choice(spark, sf_dir):
-    suggested = suggest_question_pages(spark, sf_dir).groupBy("session_id").agg(F.array_sort(F.collect_list("page_index")).alias("suggested"))
+def resume_pages(spark, sf_dir):
+    return sessions.resume_pages(_latest(spark, sf_dir), suggest_question_pages(spark, sf_dir))
+
+
+def resume_answer(spark, sf_dir):
     sheet = suggest_answer_page(spark, sf_dir).select("session_id", F.col("page_index").alias("sheet"))
-    joined = _latest(spark, sf_dir).join(suggested, "session_id", "left").join(sheet, "session_id", "left")
-    return joined.select("session_id", F.array_join(sessions.resume_pages(F.col("question_pages"), F.col("suggested")), ",").alias("pages"), sessions.resume_answer(F.col("has_no_answer_sheet"), F.col("answer_page"), F.col("sheet")).alias("answer_page"))
+    joined = _latest(spark, sf_dir).join(sheet, "session_id", "left")
+    return joined.select("session_id", sessions.resume_answer(F.col("has_no_answer_sheet"), F.col("answer_page"), F.col("sheet")).alias("answer_page"))
 
 
 def range_toggle(spark, sf_dir):

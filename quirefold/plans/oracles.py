@@ -214,11 +214,12 @@ FROM parsed p LEFT JOIN keyed k ON k.session_id = p.session_id AND k.label = p.n
     "session_latest": _w(LATEST, last="SELECT session_id, source_name, step, answer_page, epoch_us(saved_at) AS saved_us FROM latest"),
     "session_keep_one": "SELECT session_id, epoch_us(saved_at) AS saved_us, step FROM exam_session WHERE session_id = 's00000001'",
     "selection_key": _w(LATEST, last="SELECT session_id, to_json({'questionPages': question_pages, 'answerPage': answer_page, 'hasNoAnswerSheet': has_no_answer_sheet})::VARCHAR AS selection_key FROM latest"),
-    "resume_choice": _w(ITEMS, STATS, LATEST, last="""
-SELECT s.session_id, array_to_string(CASE WHEN coalesce(len(s.question_pages), 0) > 0 THEN s.question_pages ELSE p.pages END, ',') AS pages,
-  CASE WHEN coalesce(s.has_no_answer_sheet, false) THEN NULL ELSE coalesce(s.answer_page, a.page_index) END AS answer_page
-FROM latest s LEFT JOIN (SELECT session_id, list(page_index ORDER BY page_index) AS pages FROM stats WHERE markers >= 4 AND ratio < 0.2 GROUP BY 1) p ON p.session_id = s.session_id
-LEFT JOIN (SELECT session_id, page_index FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ratio DESC, page_index) AS r FROM stats WHERE ints >= 40 AND ratio >= 0.15) WHERE r = 1) a ON a.session_id = s.session_id"""),
+    "resume_pages": _w(ITEMS, STATS, LATEST, last="""
+SELECT session_id, unnest(question_pages) AS page_index FROM latest
+UNION ALL SELECT session_id, page_index FROM stats WHERE markers >= 4 AND ratio < 0.2 AND session_id IN (SELECT session_id FROM latest WHERE coalesce(len(question_pages), 0) = 0)"""),
+    "resume_answer": _w(ITEMS, STATS, LATEST, last="""
+SELECT s.session_id, CASE WHEN coalesce(s.has_no_answer_sheet, false) THEN NULL ELSE coalesce(s.answer_page, a.page_index) END AS answer_page
+FROM latest s LEFT JOIN (SELECT session_id, page_index FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ratio DESC, page_index) AS r FROM stats WHERE ints >= 40 AND ratio >= 0.15) WHERE r = 1) a ON a.session_id = s.session_id"""),
     "range_toggle": _w(LATEST, last="""
 SELECT session_id, array_to_string(list_sort(CASE WHEN list_contains(question_pages, 4) THEN list_filter(question_pages, lambda p: p NOT BETWEEN 1 AND 4) ELSE list_distinct(list_concat(question_pages, [1, 2, 3, 4])) END), ',') AS pages
 FROM latest WHERE question_pages IS NOT NULL"""),
