@@ -7,7 +7,7 @@ The form of a text: full-width and other compatibility forms become ordinary cha
 invisible characters go except the joiner inside a Sinhala conjunct (virama, joiner, consonant), the rest is composed
 (NFC), and letters of another script that stand in for look-alikes are replaced inside a word. A word is mixed if it
 holds a letter of its own script beside stand-ins, so that Greek, Cyrillic and other foreign words stay as they are; a
-word all of whose letters are stand-ins for Latin ones is also taken for Latin if the text holds other Latin words and no bracket marks it.
+word all of whose letters are stand-ins for Latin ones is also taken for Latin if the text holds a Latin word besides.
 
 Defined results: null gives null, an empty text stays empty, line breaks and tabs stay, text of any length is one value.
 """
@@ -26,7 +26,7 @@ from quirefold.session import codepoints
 SPACES = "\u00a0\u1680" + codepoints(0x2000, 0x200A) + "\u202f\u205f\u3000"
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
 LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st"}
-CYRILLIC, CYRILLIC_AS = "АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝ", "ABESIJKMHOPCTYXaesijopcyxhdqw"
+CYRILLIC, CYRILLIC_AS = "АВЕЅІЈКМНОРСТУХаеѐёѕіїјорсухһԁԛԝ", "ABESIJKMHOPCTYXaeèësiïjopcyxhdqw"
 GREEK, GREEK_AS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοιν", "ABEZHIKMNOPTYXoiv"
 MALAYALAM, MALAYALAM_AS = "\u0d02\u0d03", "\u0d82\u0d83"
 JOINER, KEPT = "\u200d", "\ue001"
@@ -46,11 +46,12 @@ def form_sql(column: str) -> str:
         sql = f"replace({sql}, {quoted(ligature)}, {quoted(letters)})"
     sql = f"translate({sql}, {quoted(INVISIBLE)}, '')"
     sql = f"regexp_replace({sql}, '(\\x{{0DCA}})\\x{{200D}}+([\\x{{0D9A}}-\\x{{0DC6}}])', '\\1{KEPT}\\2', 'g')"
-    sql = f"nfc_normalize(translate({sql}, {quoted(KEPT + JOINER)}, {quoted(JOINER)}))"
+    sql = f"translate({sql}, {quoted(KEPT + JOINER)}, {quoted(JOINER)})"
     sinhala = f"CASE WHEN regexp_matches(w, '[{MALAYALAM}]') AND regexp_matches(w, '[\\x{{0D80}}-\\x{{0DFF}}]') THEN translate(w, {quoted(MALAYALAM)}, {quoted(MALAYALAM_AS)})"
-    latin = f"WHEN regexp_matches(w, '[{STANDINS}]') AND (regexp_matches(w, '[A-Za-z]') OR (regexp_full_match(w, '[{CYRILLIC}]+') AND regexp_matches(plain_, '(^|[^\\[])\\b[A-Za-z]{{2}}'))) THEN translate(w, {quoted(STANDINS)}, {quoted(STANDINS_AS)}) ELSE w END"
+    latin = f"WHEN regexp_matches(w, '[{STANDINS}]') AND (regexp_matches(w, '[A-Za-z]') OR (regexp_full_match(w, '[{CYRILLIC}]+') AND regexp_matches(plain_, '[A-Za-z][A-Za-z{STANDINS}]|[{STANDINS}][A-Za-z]'))) THEN translate(w, {quoted(STANDINS)}, {quoted(STANDINS_AS)}) ELSE w END"
     words = f"list_transform(regexp_extract_all(plain_, '[\\p{{L}}\\p{{M}}{JOINER}]+|[^\\p{{L}}\\p{{M}}{JOINER}]+'), lambda w: {sinhala} {latin})"
-    return f"(SELECT CASE WHEN regexp_matches(plain_, '[{MALAYALAM}{STANDINS}]') THEN array_to_string({words}, '') ELSE plain_ END FROM (SELECT {sql} AS plain_))"
+    # Composed last: an accent may stand on a stand-in.
+    return f"(SELECT nfc_normalize(CASE WHEN regexp_matches(plain_, '[{MALAYALAM}{STANDINS}]') THEN array_to_string({words}, '') ELSE plain_ END) FROM (SELECT {sql} AS plain_))"
 
 
 #: Characters any of which a text must hold, or a combining mark, to differ from its form. Other texts are their form.
