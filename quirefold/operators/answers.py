@@ -22,28 +22,36 @@ def integers(items: DataFrame) -> DataFrame:
     return found.where("n IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL")
 
 
+def _with_columns(numbers: DataFrame) -> DataFrame:
+    """(session_id, page_index, m, anchors): a page's integers as one array, and the first x of each label column.
+
+    A page is one sheet of paper, so its integers fit an array; pages without a label column are left out.
+    """
+    pages = numbers.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("item_idx", "n", "x", "y"))).alias("m"))
+    xs = pages.withColumn("xs", F.array_sort(F.transform(F.filter("m", lambda i: i["n"] >= SEED), lambda i: i["x"])))
+    grouped = xs.withColumn("c", anchored(F.col("xs"), COLUMN_TOLERANCE))
+    first = F.filter("xs", lambda x, k: (k == 0) | (F.get("c", k) != F.get("c", k - 1)))
+    return grouped.select(*PAGE, "m", first.alias("anchors"))
+
+
 def label_columns(numbers: DataFrame) -> DataFrame:
     """(session_id, page_index, column_idx, x): the first x of each label column, from the left."""
-    xs = numbers.where(F.col("n") >= SEED).groupBy(*PAGE).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    grouped = xs.select(*PAGE, F.explode(F.arrays_zip("xs", anchored(F.col("xs"), COLUMN_TOLERANCE).alias("c"))).alias("z"))
-    return grouped.groupBy(*PAGE, F.col("z.c").alias("column_idx")).agg(F.min("z.xs").alias("x"))
+    return _with_columns(numbers).select(*PAGE, F.posexplode_outer("anchors").alias("column_idx", "x")).where("column_idx IS NOT NULL")
 
 
 def label_answers(numbers: DataFrame) -> DataFrame:
     """(session_id, page_index, item_idx, label, answer): every label, with its answer or null.
 
-    The band join is an equi-join: heights are cut into bins of the tolerance, and answers go to their own bin and both
-    neighbours, so no pair outside three bins is ever made.
+    Labels meet answers inside the page's array: one pass over the fragments, and no join.
     """
-    columns = label_columns(numbers).groupBy(*PAGE).agg(F.collect_list("x").alias("anchors"))
-    placed = numbers.join(columns, [*PAGE]).withColumn("in_column", F.exists("anchors", lambda a: F.abs(a - F.col("x")) <= COLUMN_TOLERANCE)).drop("anchors")
-    bin_ = F.floor(F.col("y") / ROW_TOLERANCE)
-    labels = placed.where("in_column").select(*PAGE, "item_idx", F.col("n").alias("label"), "x", "y", bin_.alias("bin"))
-    answers = placed.where("NOT in_column AND n BETWEEN 1 AND 5").select(*PAGE, F.col("item_idx").alias("a_idx"), F.col("n").alias("answer"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(F.array(bin_ - 1, bin_, bin_ + 1)).alias("bin"))
-    dx = F.col("ax") - F.col("x")
-    near = labels.join(answers, [*PAGE, "bin"]).where((F.abs(F.col("ay") - F.col("y")) <= ROW_TOLERANCE) & (dx > 0) & (dx <= REACH))
-    best = near.groupBy(*PAGE, "item_idx").agg(F.min(F.struct(dx.alias("dx"), "a_idx", "answer")).alias("b")).select(*PAGE, "item_idx", F.col("b.answer").alias("answer"))
-    return labels.select(*PAGE, "item_idx", "label").join(best, [*PAGE, "item_idx"], "left")
+    in_column = lambda i: F.exists("anchors", lambda a: F.abs(a - i["x"]) <= COLUMN_TOLERANCE)
+    split = _with_columns(numbers).select(*PAGE, F.filter("m", in_column).alias("labels"), F.filter("m", lambda i: ~in_column(i) & i["n"].between(1, 5)).alias("answers"))
+    # The outer form: for the inner one the optimiser derives a filter on the whole expression and computes it once more.
+    each = split.select(*PAGE, "answers", F.explode_outer("labels").alias("l")).where("l IS NOT NULL")
+    dx = lambda a: a["x"] - F.col("l.x")
+    near = F.filter("answers", lambda a: (F.abs(a["y"] - F.col("l.y")) <= ROW_TOLERANCE) & (dx(a) > 0) & (dx(a) <= REACH))
+    best = F.array_min(F.transform(near, lambda a: F.struct(dx(a).alias("dx"), a["item_idx"].alias("item_idx"), a["n"].alias("n"))))
+    return each.select(*PAGE, F.col("l.item_idx").alias("item_idx"), F.col("l.n").alias("label"), best["n"].alias("answer"))
 
 
 def answer_key(labelled: DataFrame) -> DataFrame:

@@ -15,14 +15,18 @@ ENUMERATION = rf"(?s)(?:^|{WS})A{WS}+[^{SPACE}]+.*(?:^|{WS})B{WS}+[^{SPACE}]+"
 STRAIGHT_OPTIONS = (4, 5)
 
 
+def _meets(q, i) -> Column:
+    return (q("x") < i("x") + i("w")) & (i("x") < q("x") + q("w")) & (q("y") - q("h") < i("y")) & (i("y") - i("h") < q("y"))
+
+
 def overlapping(questions: DataFrame, images: DataFrame, key: str) -> DataFrame:
     """The keys of the questions whose box strictly overlaps an image of their page; y is the top of either box.
 
     An equi-join on the page with the overlap as a residual; a null coordinate overlaps nothing.
     """
-    q, i = questions.select(key, *PAGE, *(F.col(c).alias(f"q{c}") for c in "xywh")), images.select(*PAGE, *(F.col(c).alias(f"i{c}") for c in "xywh"))
-    meets = (F.col("qx") < F.col("ix") + F.col("iw")) & (F.col("ix") < F.col("qx") + F.col("qw")) & (F.col("qy") - F.col("qh") < F.col("iy")) & (F.col("iy") - F.col("ih") < F.col("qy"))
-    return q.alias("q").join(i.alias("i"), (F.col("q.session_id") == F.col("i.session_id")) & (F.col("q.page_index") == F.col("i.page_index")) & meets, "left_semi").select(key)
+    q, i = questions.select(key, *PAGE, *"xywh").alias("q"), images.select(*PAGE, *"xywh").alias("i")
+    meets = _meets(lambda c: F.col(f"q.{c}"), lambda c: F.col(f"i.{c}"))
+    return q.join(i, (F.col("q.session_id") == F.col("i.session_id")) & (F.col("q.page_index") == F.col("i.page_index")) & meets, "left_semi").select(key)
 
 
 def kind(stem: Column, options: Column, overlaps: Column) -> Column:
@@ -34,10 +38,14 @@ def kind(stem: Column, options: Column, overlaps: Column) -> Column:
     return F.when(special, F.lit("special")).when(shown | overlaps, F.lit("figure")).otherwise(F.lit("straight"))
 
 
-def classify(questions: DataFrame, images: DataFrame, key: str) -> DataFrame:
-    """The questions with `kind`; boxes are x, y, w, h."""
-    hit = overlapping(questions, images, key).distinct().withColumn("overlaps", F.lit(True))
-    return questions.join(hit, key, "left").withColumn("kind", kind(F.col("stem"), F.col("options"), F.coalesce("overlaps", F.lit(False)))).drop("overlaps")
+def classify(questions: DataFrame, images: DataFrame) -> DataFrame:
+    """The questions with `kind`; boxes are x, y, w, h.
+
+    The images of a page, which are few, come as one array, so that the questions' plan is used once.
+    """
+    boxes = images.groupBy(*PAGE).agg(F.collect_list(F.struct(*"xywh")).alias("_boxes"))
+    hit = F.exists("_boxes", lambda b: F.coalesce(_meets(F.col, lambda c: b[c]), F.lit(False)))
+    return questions.join(boxes, [*PAGE], "left").withColumn("kind", kind(F.col("stem"), F.col("options"), F.coalesce(hit, F.lit(False)))).drop("_boxes")
 
 
 def flags(unmapped: Column, scanned: Column) -> Column:

@@ -5,7 +5,7 @@ Null texts count as blank; a repeated delivery of a fragment counts once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import legacy
@@ -43,10 +43,13 @@ def watermarks(items: DataFrame, min_repeats: int = MIN_REPEATS) -> DataFrame:
 
 
 def strip_watermarks(items: DataFrame, min_repeats: int = MIN_REPEATS) -> DataFrame:
-    """The fragments without those of a watermark: the watermarks are few, so the fragments need no shuffle for long."""
-    marked = watermarks(items, min_repeats).select(F.col("session_id").alias("_s"), F.col("page_index").alias("_p"), F.col("text").alias("_t"))
-    same = F.col("session_id").eqNullSafe(F.col("_s")) & F.col("page_index").eqNullSafe(F.col("_p")) & (trim("str") == F.col("_t"))
-    return items.join(marked, same, "left_anti")
+    """The fragments without those of a watermark.
+
+    A window over page and text counts the repeats: fragments that are partitioned by page already are not moved again.
+    """
+    marked = items.withColumn("_text", trim("str")).withColumn("_n", F.count("*").over(Window.partitionBy(*PAGE, "_text")))
+    repeated = F.coalesce((F.length("_text") >= LEAST_LENGTH) & (F.col("_n") >= min_repeats), F.lit(False))
+    return marked.where(~repeated).drop("_text", "_n")
 
 
 def clean_recognised(text: Column) -> Column:

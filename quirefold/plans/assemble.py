@@ -44,8 +44,7 @@ def extract(items: DataFrame, images: DataFrame, sessions: DataFrame, scanned_pa
     labelled = answers.label_answers(answers.integers(sheet))
     key = answers.answer_key(labelled)
     raw = questions.parse(lines.group_into_lines(cleanse.strip_watermarks(page_items)))
-    identified = raw.withColumn("uid", F.concat_ws("/", "session_id", "page_index", "q"))
-    kinds = classify.classify(identified, images, "uid")
+    kinds = classify.classify(raw, images)
     if scanned_pages is not None:
         kinds = kinds.join(scanned_pages.distinct().withColumn("scanned", F.lit(True)), ["session_id", "page_index"], "left")
     else:

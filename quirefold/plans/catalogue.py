@@ -18,16 +18,24 @@ from quirefold.session import spread, table
 PAGE_HEIGHT = 842.0
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleanse.once(table(spark, sf_dir, "positioned_item"), "item_id", cleanse.PAGE)
+#: The columns of a fragment that reading order and text need.
+PLACED = ("item_idx", "str", "x", "y", "w", "h", "font")
+#: The columns of a saved session that name a selection.
+SELECTION = ("question_pages", "answer_page", "has_no_answer_sheet")
 
 
-def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.latest(table(spark, sf_dir, "exam_session"))
+# Deliveries are dropped by an aggregate over whole rows, so each query first names the columns that it reads.
+def _items(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    read = table(spark, sf_dir, "positioned_item").select("item_id", *cleanse.PAGE, *columns, "loaded_at")
+    return cleanse.once(read, "item_id", cleanse.PAGE)
 
 
-def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleanse.once(table(spark, sf_dir, "question"), "question_id")
+def _latest(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return sessions.latest(table(spark, sf_dir, "exam_session").select("session_id", "source_name", "saved_at", *columns))
+
+
+def _questions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return cleanse.once(table(spark, sf_dir, "question").select("question_id", *columns, "loaded_at"), "question_id")
 
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +43,7 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = cleanse.once(table(spark, sf_dir, "raw_question"), "rq_id")
+    raw = cleanse.once(table(spark, sf_dir, "raw_question").select("rq_id", "session_id", "page_index", "stem", "options", "bbox", "loaded_at"), "rq_id")
     return raw.select("rq_id", "session_id", "page_index", "stem", "options", *(F.col(f"bbox.{c}").alias(c) for c in "xywh"))
 
 
@@ -44,8 +52,8 @@ def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = _latest(spark, sf_dir).where("NOT coalesce(has_no_answer_sheet, false)").select("session_id", F.col("answer_page").alias("page_index"))
-    return _items(spark, sf_dir).join(chosen, ["session_id", "page_index"], "left_semi")
+    chosen = _latest(spark, sf_dir, "has_no_answer_sheet", "answer_page").where("NOT coalesce(has_no_answer_sheet, false)").select("session_id", F.col("answer_page").alias("page_index"))
+    return _items(spark, sf_dir, "item_idx", "str", "x", "y").join(chosen, ["session_id", "page_index"], "left_semi")
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,19 +61,19 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_runs(spark, sf_dir):
-    return cleanse.text_runs(_items(spark, sf_dir)).select("item_id", "str", "x", "y", "w", "h", "font")
+    return cleanse.text_runs(_items(spark, sf_dir, *PLACED)).select("item_id", "str", "x", "y", "w", "h", "font")
 
 
 def watermarks(spark, sf_dir):
-    return cleanse.watermarks(_items(spark, sf_dir))
+    return cleanse.watermarks(_items(spark, sf_dir, "str"))
 
 
 def watermark_strip(spark, sf_dir):
-    return cleanse.strip_watermarks(_items(spark, sf_dir)).select("item_id", "session_id", "page_index", "str")
+    return cleanse.strip_watermarks(_items(spark, sf_dir, "str")).select("item_id", "session_id", "page_index", "str")
 
 
 def page_stats(spark, sf_dir):
-    return pages.stats(_items(spark, sf_dir))
+    return pages.stats(_items(spark, sf_dir, "str"))
 
 
 def page_needs_ocr(spark, sf_dir):
@@ -99,15 +107,15 @@ def distinct_fonts(spark, sf_dir):
 
 
 def legacy_convert(spark, sf_dir):
-    return cleanse.transliterate(_items(spark, sf_dir)).select("item_id", "text", "unmapped")
+    return cleanse.transliterate(_items(spark, sf_dir, "str", "font")).select("item_id", "text", "unmapped")
 
 
 def coverage_ratio(spark, sf_dir):
-    return cleanse.coverage(_items(spark, sf_dir))
+    return cleanse.coverage(_items(spark, sf_dir, "str", "font"))
 
 
 def _lines(spark, sf_dir):
-    return lines.group_into_lines(_items(spark, sf_dir))
+    return lines.group_into_lines(_items(spark, sf_dir, *PLACED))
 
 
 def line_groups(spark, sf_dir):
@@ -132,11 +140,11 @@ def question_parse(spark, sf_dir):
 
 
 def legacy_split(spark, sf_dir):
-    return questions.split_legacy(_questions(spark, sf_dir).where("raw_legacy IS NOT NULL"), "question_id").withColumn("options", F.array_join("options", "|"))
+    return questions.split_legacy(_questions(spark, sf_dir, "raw_legacy").where("raw_legacy IS NOT NULL"), "question_id").withColumn("options", F.array_join("options", "|"))
 
 
 def classify_questions(spark, sf_dir):
-    return classify.classify(_raw(spark, sf_dir), _images(spark, sf_dir), "rq_id").select("rq_id", "kind")
+    return classify.classify(_raw(spark, sf_dir), _images(spark, sf_dir)).select("rq_id", "kind")
 
 
 def figure_overlap(spark, sf_dir):
@@ -164,7 +172,7 @@ def answer_grid(spark, sf_dir):
 
 
 def assemble(spark, sf_dir):
-    found = plan.extract(_items(spark, sf_dir), _images(spark, sf_dir), _latest(spark, sf_dir)).questions
+    found = plan.extract(_items(spark, sf_dir, *PLACED), _images(spark, sf_dir), _latest(spark, sf_dir, *SELECTION)).questions
     return found.withColumns({"options": F.array_join("options", "|"), "flags": F.array_join("flags", "|")})
 
 
@@ -173,25 +181,28 @@ def assemble_scanned(spark, sf_dir):
     read = _scanned(spark, sf_dir)
     box = [F.col(f"bbox.{c}").alias(c) for c in ("x", "w", "h")]
     words = read.select("line_id", "session_id", "page_index", "line_idx", "text", "y", *box).select("session_id", "page_index", F.col("line_id").alias("item_id"), F.col("line_idx").alias("item_idx"), cleanse.clean_recognised(F.col("text")).alias("str"), "x", "y", "w", "h", F.lit("OCR").alias("font"))
-    items, scanned = plan.with_recognised(_items(spark, sf_dir), read, words)
-    found = plan.extract(items, _images(spark, sf_dir), _latest(spark, sf_dir), scanned).questions.where(F.array_contains("flags", "ocr"))
+    items, scanned = plan.with_recognised(_items(spark, sf_dir, *PLACED), read, words)
+    found = plan.extract(items, _images(spark, sf_dir), _latest(spark, sf_dir, *SELECTION), scanned).questions.where(F.array_contains("flags", "ocr"))
     return found.select("session_id", "id", "page_index", "q", "number", "stem", F.array_join("options", "|").alias("options"), "kind", F.array_join("flags", "|").alias("flags"), "correct_answer")
 
 
+EXPORTED = ("number", "stem", "options", "kind", "correct_answer")
+
+
 def export_unicode(spark, sf_dir):
-    return export.rows(_questions(spark, sf_dir), "question_id")
+    return export.rows(_questions(spark, sf_dir, *EXPORTED), "question_id")
 
 
 def export_legacy(spark, sf_dir):
-    return export.rows(_questions(spark, sf_dir), "question_id", "legacy")
+    return export.rows(_questions(spark, sf_dir, *EXPORTED, "raw_legacy"), "question_id", "legacy")
 
 
 def kind_counts(spark, sf_dir):
-    return export.kind_counts(_questions(spark, sf_dir))
+    return export.kind_counts(_questions(spark, sf_dir, "kind"))
 
 
 def session_latest(spark, sf_dir):
-    return _latest(spark, sf_dir).select("session_id", "source_name", "step", "answer_page", F.unix_micros("saved_at").alias("saved_us"))
+    return _latest(spark, sf_dir, "step", "answer_page").select("session_id", "source_name", "step", "answer_page", F.unix_micros("saved_at").alias("saved_us"))
 
 
 def session_keep_one(spark, sf_dir):
@@ -199,26 +210,26 @@ def session_keep_one(spark, sf_dir):
 
 
 def selection_key(spark, sf_dir):
-    return _latest(spark, sf_dir).select("session_id", sessions.selection_key(F.col("question_pages"), F.col("answer_page"), F.col("has_no_answer_sheet")).alias("selection_key"))
+    return _latest(spark, sf_dir, *SELECTION).select("session_id", sessions.selection_key(F.col("question_pages"), F.col("answer_page"), F.col("has_no_answer_sheet")).alias("selection_key"))
 
 
 def resume_pages(spark, sf_dir):
-    return sessions.resume_pages(_latest(spark, sf_dir), suggest_question_pages(spark, sf_dir))
+    return sessions.resume_pages(_latest(spark, sf_dir, "question_pages"), suggest_question_pages(spark, sf_dir))
 
 
 def resume_answer(spark, sf_dir):
     sheet = suggest_answer_page(spark, sf_dir).select("session_id", F.col("page_index").alias("sheet"))
-    joined = _latest(spark, sf_dir).join(sheet, "session_id", "left")
+    joined = _latest(spark, sf_dir, *SELECTION).join(sheet, "session_id", "left")
     return joined.select("session_id", sessions.resume_answer(F.col("has_no_answer_sheet"), F.col("answer_page"), F.col("sheet")).alias("answer_page"))
 
 
 def range_toggle(spark, sf_dir):
-    chosen = _latest(spark, sf_dir).where("question_pages IS NOT NULL")
+    chosen = _latest(spark, sf_dir, "question_pages").where("question_pages IS NOT NULL")
     return chosen.select("session_id", F.array_join(sessions.toggle_range(F.col("question_pages"), F.lit(1), F.lit(4)), ",").alias("pages"))
 
 
 def apply_edits(spark, sf_dir):
-    all_ = _questions(spark, sf_dir)
+    all_ = _questions(spark, sf_dir, "stem", "correct_answer", "edited", "kind")
     edits = all_.where("kind = 'figure'").select("question_id", F.concat("stem", F.lit(" *")).alias("stem"), F.when(F.col("question_id") % 2 == 0, F.lit(1)).alias("correct_answer"))
     return sessions.apply_edits(all_, edits, "question_id").select("question_id", "stem", "correct_answer", "edited")
 
@@ -249,7 +260,7 @@ def screen_boxes(spark, sf_dir):
 
 
 def failed_pages(spark, sf_dir):
-    return _latest(spark, sf_dir).select("session_id", F.explode("ocr_failed_pages").alias("page_index")).withColumn("label", (F.col("page_index") + 1).cast("string"))
+    return _latest(spark, sf_dir, "ocr_failed_pages").select("session_id", F.explode("ocr_failed_pages").alias("page_index")).withColumn("label", (F.col("page_index") + 1).cast("string"))
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, str]]:

@@ -70,7 +70,7 @@ def test_kinds(spark):
     rows = [(1, "plain stem", four), (2, "x", four[:3]), (3, "x", ["A , B", *four[1:]]), (4, "which A one B two", four), (5, "මෙම රූපය බලන්න", four), (6, "x", None), (7, None, four)]
     df = spark.createDataFrame([(*r, "s", 0, 0.0, 10.0, 5.0, 5.0) for r in rows], "id int, stem string, options array<string>, session_id string, page_index int, x double, y double, w double, h double")
     images = spark.createDataFrame([("s", 1, 0.0, 10.0, 5.0, 5.0)], "session_id string, page_index int, x double, y double, w double, h double")
-    got = {r["id"]: r["kind"] for r in classify.classify(df, images, "id").collect()}
+    got = {r["id"]: r["kind"] for r in classify.classify(df, images).collect()}
     assert got == {1: "straight", 2: "special", 3: "special", 4: "special", 5: "figure", 6: "special", 7: "straight"}
     touching = spark.createDataFrame([("s", 0, 5.0, 10.0, 5.0, 5.0)], images.schema)
     assert classify.overlapping(df, touching, "id").count() == 0
