@@ -13,6 +13,8 @@ An element of a record is a word with its number of occurrence, so multisets bec
    travel with the keys, packed in one word. By the triangle inequality a pair whose distances to any reference differ
    by more than (1 - t) / (1 + t) * (a + b) cannot reach the threshold and is discarded inside the join.
 4. Survivors are verified: first on the fingerprints themselves, then, once each, on their elements.
+5. Groups: classes that a chain of links connects are one group. Its edges are turned into stars around its smallest
+   class by rounds of joins, each written once; the driver gets one truth value a round.
 
 The order needs the document frequency of frequent elements only: those in more than 1 of `rare` records. There are at
 most rare * (elements of a record) of them at any size of the input; the list goes to the tasks with the plan.
@@ -206,8 +208,39 @@ def pairs(df: DataFrame, key: str = "question_id", stem: str = "stem", options:
     return both.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each upper end has one lower end, and no lower end is an upper one."""
+    crossing = edges.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").select("hi").unionByName(edges.join(edges.select(F.col("lo").alias("hi")), "hi", "left_semi").select("hi"))
+    return crossing.isEmpty()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(rep, head) of every linked class: the smallest class that a chain of links (rep_a, rep_b), rep_a < rep_b, leads to.
+
+    Large stars hang the larger neighbours of a class onto its smallest one, small stars the class and its smaller ones;
+    both keep what is connected, and their alternation ends in one star for each group, whatever its size or shape.
+    """
+    edges = stash(links.select(F.col("rep_b").alias("hi"), F.col("rep_a").alias("lo")).distinct(), "edges")
+    while not _stars(edges):
+        both = edges.select(F.col("hi").alias("x"), F.col("lo").alias("y")).unionByName(edges.select(F.col("lo").alias("x"), F.col("hi").alias("y")))
+        least = both.groupBy("x").agg(F.least("x", F.min("y")).alias("m"))
+        large = both.where("y > x").join(least, "x").select(F.col("y").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = stash(large, "large-stars")
+        lower = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(lower, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo")
+        edges = stash(small.where("hi <> lo").distinct(), "edges")
+    return edges.select(F.col("hi").alias("rep"), F.col("lo").alias("head")).unionByName(edges.select(F.col("lo").alias("rep"), F.col("lo").alias("head")).distinct())
+
+
 def groups(df: DataFrame, key: str = "question_id", stem: str = "stem", options: str = "options", threshold: float = THRESHOLD) -> DataFrame:
-    """(key, class_id, links): the class of each record (its smallest key) and the number of linked classes."""
+    """(key, group_id, class_id, links) of each record.
+
+    `group_id` is the smallest key of the records that chains of pairs at the threshold connect to it, null for a record
+    without words; `class_id` the smallest key with the same words; `links` the number of linked classes.
+    """
     members, links = classes_and_links(df, key, stem, options, threshold)
+    links = stash(links, "links")
     ends = links.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    return members.join(ends, "rep", "left").select("key", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")).withColumnRenamed("key", key)
+    placed = members.join(ends.join(components(links), "rep"), "rep", "left")
+    group = F.when(F.col("n") > 0, F.coalesce("head", "rep")).alias("group_id")
+    return placed.select("key", group, F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")).withColumnRenamed("key", key)

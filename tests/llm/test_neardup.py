@@ -63,3 +63,22 @@ def test_edge_cases(spark):
     assert {tuple(r) for r in neardup.pairs(df).collect()} == {(3, 4), (7, 8)}
     assert {r["question_id"]: r["class_id"] for r in neardup.groups(df).where("question_id IN (3, 4, 5)").collect()} == {3: 3, 4: 3, 5: 5}
     assert neardup.pairs(df.limit(0)).count() == 0
+
+
+def test_groups_hold_all_that_chains_of_pairs_connect(spark):
+    rows = made(random.Random(3), 220, 60, 14) + [(900 + i, " ".join(f"c{j}" for j in range(i, i + 12)), None) for i in (7, 0, 3, 11, 5, 1, 9, 2, 10, 4, 8, 6)] + [(990, None, None), (991, "", [])]
+    head = {k: k for k, *_ in rows}
+    for _ in rows:
+        for a, b in brute(rows):
+            head[a] = head[b] = min(head[a], head[b])
+    df = spark.createDataFrame(rows, "question_id long, stem string, options array<string>")
+    got = {r["question_id"]: r for r in neardup.groups(df).collect()}
+    assert {k: r["group_id"] for k, r in got.items()} == head | {990: None, 991: None}
+    assert {got[900 + i]["group_id"] for i in range(12)} == {900}
+    assert got[905]["class_id"] == 905 and got[905]["links"] > 0
+
+
+def test_a_small_edit_shares_the_group(spark):
+    rows = [(1, "one two three four five six seven eight nine ten", None), (2, "one two three four five six seven eight nine eleven", None), (3, "quite another text", None)]
+    df = spark.createDataFrame(rows, "question_id long, stem string, options array<string>")
+    assert {r["question_id"]: r["group_id"] for r in neardup.groups(df).collect()} == {1: 1, 2: 1, 3: 3}
