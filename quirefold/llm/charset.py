@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import log
+from unicodedata import category
 
 import pyarrow as pa
 import regex
@@ -39,7 +40,7 @@ REFERENCE = 10**12
 _LEGACY = {c for t in legacy.TOKENS for c in t if not c.isascii()}
 _CONTINUATION = "\u0080-¿" + "".join(bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0))
 #: A lead byte with its continuation bytes, as characters.
-SEQUENCE = f"[Â-ß][{_CONTINUATION}]|[à-ï][{_CONTINUATION}]{{2}}"
+SEQUENCE = f"[Â-ß][{_CONTINUATION}]|[à-ï][{_CONTINUATION}]{{2}}|[ð-ô][{_CONTINUATION}]{{3}}"
 _TO_BYTE = {chr(b): b for b in range(128, 256)} | {bytes([b]).decode("cp1252"): b for b in range(128, 256) if bytes([b]).decode("cp1252", "ignore")}
 _NAME = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{Sinhala}\p{Han}\p{Hiragana}\p{Katakana}0-9\-_. ‍]+")
 _ODD_NAME = regex.compile(r"[\p{Cc}\p{So}\p{Sm}\p{Sc}\p{Sk}─-▟·‘-„…‰‹›ªº¿¡-¿]|\p{Ll}\p{Lu}\p{Lu}|\p{Ll}[À-Þ]")
@@ -72,8 +73,8 @@ def spans(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def plausible(char: str, counts: dict[str, int]) -> bool:
-    """Whether a decoded character can be right: one that occurs in such text, or Sinhala, Han, kana or general punctuation."""
-    return counts.get(char, 0) > 2 or "඀" <= char <= "෿" or "‐" <= char <= "…" or char in "​‌‍ ­" or "぀" <= char <= "鿿" or char in _LEGACY or "─" <= char <= "╿"
+    """Whether a decoded character can be right: one that occurs in such text, or Sinhala, Han, kana, general punctuation or an assigned one of four bytes."""
+    return counts.get(char, 0) > 2 or "඀" <= char <= "෿" or "‐" <= char <= "…" or char in "​‌‍ ­" or "぀" <= char <= "鿿" or char in _LEGACY or "─" <= char <= "╿" or (char > "\uffff" and category(char) not in ("Cn", "Co"))
 
 
 def repair_sequences(text: str, counts: dict[str, int]) -> str:

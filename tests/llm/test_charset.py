@@ -59,3 +59,10 @@ def test_over_tables_with_nulls_repeats_and_clashing_columns(spark):
     assert {("positioned_item", 1, "str"), ("positioned_item", 4, "str"), ("positioned_item", 3, "font"), ("question", 1, "raw_legacy")} <= got
     assert len(got) == 4
     assert charset.found(items.limit(0), questions.limit(0), fonts.limit(0)).count() == 0
+
+
+def test_a_sequence_of_four_bytes_alone_is_a_case(spark):
+    wrong = "😀".encode().decode("cp1252")
+    items = spark.createDataFrame([(1, f"well done {wrong}", "T"), (2, "fmñ—“”", "T")], "item_id long, str string, font string")
+    none = spark.createDataFrame([], "question_id long, raw_legacy string"), spark.createDataFrame([], "font string")
+    assert [tuple(r) for r in charset.repaired(items, *none).collect()] == [("positioned_item", 1, "str", f"well done {wrong}", "well done 😀")]
