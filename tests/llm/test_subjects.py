@@ -50,3 +50,9 @@ def test_long_text_and_windows():
     assert [tuple(x) for x in zip(*subjects.windows(50))] == [(0, 40), (20, 50)]
     assert [tuple(x) for x in zip(*subjects.windows(3))] == [(0, 3)]
     assert subjects.words("x = df['soil_n_77'] " + "A" * 5_000) == ["df", "soil_n"]
+
+
+def test_words_keep_their_marks():
+    assert subjects.words("ජිවැක පමණක් ශ්‍රී ලංකා, cafe\u0301 නම_දත්ත x1") == ["ජිවැක", "පමණක්", "ශ්‍රී", "ලංකා", "cafe\u0301", "නම_දත්ත"]
+    paragraph = "අධිකරණය තීන්දුව ප්‍රකාශ කළේය " * 10
+    assert sum(map(len, subjects.words(paragraph))) == len(paragraph.replace(" ", ""))
