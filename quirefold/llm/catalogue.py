@@ -31,7 +31,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return charset.repaired(table(spark, sf_dir, "positioned_item"), table(spark, sf_dir, "question"), table(spark, sf_dir, "font_ref")).distinct()
+    return charset.repaired(table(spark, sf_dir, "positioned_item"), table(spark, sf_dir, "question"), table(spark, sf_dir, "font_ref"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
