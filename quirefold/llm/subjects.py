@@ -5,9 +5,11 @@ word's vector the average of its own embedding and those of its character n-gram
 output of a document is the largest over its windows, so one whole passage is enough and a stray word, which fills a
 small part of its window, is not.
 
-The model is fitted on a bounded sample of at most SAMPLE_LABELS labelled documents and the subjects' own descriptions. In
-each step every partition of the sample computes the gradient of its documents against the current parameters, the
-gradients are summed on the driver, and one Adam step follows. Then every document is scored in one pass.
+The model is fitted on a bounded sample of at most SAMPLE_LABELS labelled documents and the subjects' own descriptions,
+which are cut into words once and written as arrays in GRADIENT_TASKS partitions. In each step every partition computes
+the gradient of its documents against the current parameters, the gradients are summed on the driver, and one Adam step
+follows. What the driver gets in a step is GRADIENT_TASKS times the size of the model (1 MB), whatever the size of the
+cluster or the data. Then every document is scored in one pass.
 
 Defined results: null, empty and blank texts have no subject; labels are trimmed and lower-cased, unknown ones (such as
 `none`) only say that the document has no other subject; repeated labels count once; ties do not matter, since outputs
@@ -17,7 +19,6 @@ are independent. Texts of any length are read whole.
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from unicodedata import category
@@ -31,7 +32,7 @@ from quirefold.session import spread, stash
 
 WINDOW, STRIDE = 40, 20
 BUCKETS, DIMENSIONS = 1 << 14, 16
-SAMPLE_LABELS = 4_000
+SAMPLE_LABELS, GRADIENT_TASKS = 4_000, 4
 STEPS, RATE, DECAY = 45, 0.08, 1e-4
 #: After so many steps, labels that the model contradicts by more than DOUBT are left out.
 WARM_STEPS, DOUBT = 18, 0.6
@@ -71,11 +72,20 @@ def windows(count: int) -> tuple[np.ndarray, np.ndarray]:
 class Batch:
     """Documents as windows over a list of distinct words, with what the gradient needs, in flat arrays."""
 
-    def __init__(self, texts: list[str]):
-        self.index: dict[str, int] = {}
+    #: ids: the word at each place; starts, ends, docs: of each window; rows, sizes: the embedding rows of each word.
+    ARRAYS = ("ids", "starts", "ends", "docs", "rows", "sizes")
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.arrays = arrays
+        self.ids, self.starts, self.ends, self.docs, self.rows, self.sizes = (arrays[a] for a in self.ARRAYS)
+        self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
+
+    @classmethod
+    def of(cls, texts: list[str]) -> "Batch":
+        index: dict[str, int] = {}
         ids, starts, ends, docs, at = [], [], [], [], 0
         for d, text in enumerate(texts):
-            found = [self.index.setdefault(w, len(self.index)) for w in words(text)]
+            found = [index.setdefault(w, len(index)) for w in words(text)]
             if found:
                 a, b = windows(len(found))
                 starts.append(a + at)
@@ -83,18 +93,14 @@ class Batch:
                 docs.append(np.full(len(a), d))
                 ids += found
                 at += len(found)
-        empty = np.empty(0, np.int64)
-        self.ids = np.array(ids, np.int64)
-        self.starts, self.ends, self.docs = (np.concatenate(x) if x else empty for x in (starts, ends, docs))
-        self.count = len(texts)
-        rows = [buckets(w) for w in self.index]
-        self.rows = np.array([r for x in rows for r in x], np.int64)
-        self.sizes = np.array([len(x) for x in rows], np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])[:-1] if rows else empty
+        rows = [buckets(w) for w in index]
+        whole = lambda x: np.concatenate(x) if x else []
+        found = (ids, whole(starts), whole(ends), whole(docs), [r for x in rows for r in x], [len(x) for x in rows])
+        return cls({name: np.array(x, np.int32) for name, x in zip(cls.ARRAYS, found)})
 
 
 def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    total = np.vstack([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0)])
+    total = np.vstack([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0, dtype=np.float64)])
     return total[ends] - total[starts]
 
 
@@ -136,25 +142,25 @@ def gradient(batch: Batch, y: np.ndarray, weight: np.ndarray, e: np.ndarray, w:
     return ge, gw, gb, loss
 
 
-#: Batches that this Python worker has prepared, by run and partition; a new worker prepares its own again.
-_PREPARED: dict[tuple[str, int], tuple[Batch, np.ndarray, np.ndarray]] = {}
+def prepared(rows: DataFrame, tasks: int = GRADIENT_TASKS) -> DataFrame:
+    """(count, y, weight, arrays of a Batch as bytes): a row for each of `tasks` partitions of (text, y, weight)."""
+    names = ["y", "weight", *Batch.ARRAYS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [b for b in batches if b.num_rows]
+        if tables:
+            table = pa.Table.from_batches(tables)
+            arrays = Batch.of(table.column("text").to_pylist()).arrays | {c: np.array(table.column(c).to_pylist(), np.float32) for c in ("y", "weight")}
+            yield pa.RecordBatch.from_arrays([pa.array([table.num_rows], pa.int64()), *(pa.array([arrays[n].tobytes()], pa.binary()) for n in names)], ["count", *names])
+
+    return rows.select("text", "y", "weight").repartition(tasks).mapInArrow(run, "count bigint, " + ", ".join(f"{n} binary" for n in names))
 
 
-def _partial_gradients(run: str, partition: int, batches: Iterator[pa.RecordBatch], parameters) -> pa.RecordBatch:
-    key = (run, partition)
-    if key in _PREPARED:
-        # The input is read all the same: a worker that leaves some of it unread is not used again, nor what it has prepared.
-        for _ in batches:
-            pass
-    else:
-        for other in [k for k in _PREPARED if k[0] != run]:
-            del _PREPARED[other]
-        table = pa.Table.from_batches(list(batches))
-        y = np.array(table.column("y").to_pylist(), float).reshape(table.num_rows, -1)
-        _PREPARED[key] = Batch(table.column("text").to_pylist()), y, np.array(table.column("weight").to_pylist(), float)
-    ge, gw, gb, loss = gradient(*_PREPARED[key], *parameters)
-    packed = np.concatenate([ge.ravel(), gw.ravel(), gb.ravel(), [loss]]).astype(np.float32).tobytes()
-    return pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["g"])
+def _partial_gradient(row: dict, parameters: list[np.ndarray], doubt: float) -> bytes:
+    batch = Batch({n: np.frombuffer(row[n], np.int32) for n in Batch.ARRAYS})
+    y = np.frombuffer(row["y"], np.float32).reshape(row["count"], -1)
+    ge, gw, gb, loss = gradient(batch, y, np.frombuffer(row["weight"], np.float32), *parameters, doubt)
+    return np.concatenate([ge.ravel(), gw.ravel(), gb.ravel(), [loss]]).astype(np.float32).tobytes()
 
 
 class Model:
@@ -168,23 +174,24 @@ class Model:
         self.b = np.full(len(subjects), -2.0)
 
     def fit(self, labelled: DataFrame, steps: int = STEPS) -> "Model":
-        """Adam on the gradients that the partitions of (text, y, weight) return; the number of rows is bounded."""
-        run, shapes = uuid.uuid4().hex, [self.e.shape, self.w.shape, self.b.shape]
+        """Adam on the gradients that the partitions of `prepared` return; their number and their rows are bounded."""
+        context = labelled.sparkSession.sparkContext
+        shapes = [self.e.shape, self.w.shape, self.b.shape]
         cuts = np.cumsum([int(np.prod(s)) for s in shapes])
         theta = np.concatenate([x.ravel() for x in (self.e, self.w, self.b)])
         m, v = np.zeros_like(theta), np.zeros_like(theta)
-        total = max(1, labelled.count())
+        total = max(1, labelled.agg(F.sum("count")).first()[0] or 0)
         for step in range(1, steps + 1):
-            e, w, b = (x.reshape(s).astype(np.float32) for x, s in zip(np.split(theta, cuts[:-1]), shapes))
-
-            def part(batches: Iterator[pa.RecordBatch], e=e, w=w, b=b, doubt=DOUBT if step > WARM_STEPS else 1.0) -> Iterator[pa.RecordBatch]:
-                from pyspark import TaskContext
+            sent = context.broadcast([x.reshape(s).astype(np.float32) for x, s in zip(np.split(theta, cuts[:-1]), shapes)])
 
-                yield _partial_gradients(run, TaskContext.get().partitionId(), batches, (e.astype(float), w.astype(float), b.astype(float), doubt))
+            def part(batches: Iterator[pa.RecordBatch], sent=sent, doubt=DOUBT if step > WARM_STEPS else 1.0) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    yield pa.RecordBatch.from_arrays([pa.array([_partial_gradient(r, sent.value, doubt) for r in batch.to_pylist()], pa.binary())], ["g"])
 
             g = np.zeros(len(theta) + 1)
             for row in labelled.mapInArrow(part, "g binary").collect():
                 g += np.frombuffer(row["g"], np.float32)
+            sent.destroy()
             g = g[:-1] / total + DECAY * theta * np.r_[np.ones(cuts[1]), np.zeros(len(theta) - cuts[1])] / total
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             theta -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) * min(1.0, 2.0 * (1 - step / (steps + 1)) + 0.1)
@@ -236,9 +243,7 @@ def classify(documents: DataFrame, labels: DataFrame, reference: DataFrame, thre
     kind = documents.schema["doc_id"].dataType.simpleString()
     if not subjects:
         return documents.sparkSession.createDataFrame([], f"doc_id {kind}, subject string, score double")
-    tasks = documents.sparkSession.sparkContext.defaultParallelism
-    labelled = stash(training_rows(documents, labels, reference, subjects, sample_labels).repartition(tasks), "labelled")
-    model = Model(subjects).fit(labelled)
+    model = Model(subjects).fit(stash(prepared(training_rows(documents, labels, reference, subjects, sample_labels)), "labelled"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
