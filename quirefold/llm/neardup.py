@@ -8,17 +8,21 @@ An element of a record is a word with its number of occurrence, so multisets bec
    hash into s - 1 buckets, so one bucket holds two shared ones. Each class emits one key for each pair of its first
    elements in the same bucket, and an equi-join on the keys finds the candidates. Small sets use one bucket, larger ones
    four, which more than halves the keys; sets that may meet either kind emit both.
-3. Pivot distance tables: a fingerprint is the parity of the elements in 64 bits, so two fingerprints differ in at most
-   as many bits as the sets differ in elements. The Hamming distances to 12 reference fingerprints are computed once and
-   travel with the keys, packed in one word. By the triangle inequality a pair whose distances to any reference differ
-   by more than (1 - t) / (1 + t) * (a + b) cannot reach the threshold and is discarded inside the join.
-4. Survivors are verified: first on the fingerprints themselves, then, once each, on their elements.
+3. Pivot distance tables: a fingerprint is the parity of the elements in 256 bits, so two fingerprints differ in at most
+   as many bits as the sets differ in elements. The Hamming distances to 20 reference fingerprints are computed once; they,
+   and not the fingerprints, travel with the keys, packed in two words. By the triangle inequality a pair whose distances
+   to any reference differ by more than (1 - t) / (1 + t) * (a + b) cannot reach the threshold and is discarded inside the join.
+4. Survivors are verified, once each, on their elements.
 5. Groups: classes that a chain of links connects are one group. Its edges are turned into stars around its smallest
    class by rounds of joins, each written once; the driver gets one truth value a round.
 
 The order needs the document frequency of frequent elements only: those in more than 1 of `rare` records. There are at
 most rare * (elements of a record) of them at any size of the input; the list goes to the tasks with the plan.
 
+A key of two frequent elements may be in very many records. No more than the less frequent of its elements, which bounds it:
+beyond HOT, the key's rows are dealt into a grid of cells of about HOT x HOT pairs, each a key of its own, so that a hot
+key is the work of many tasks. No pair is dropped.
+
 Defined results: null stems and options count as empty; a record without words is in no group; repeated rows of a key
 count once; ties in the order fall to the element's hash. No cap holds on partners or candidates.
 """
@@ -39,12 +43,14 @@ THRESHOLD = 0.7
 RARE = 2_000
 #: Fixed value: the characters that are removed from both ends of a word.
 EDGE = '.,?()“”‘’:!—"'
-#: Reference fingerprints; a distance is kept in PIVOT_BITS bits, clipped to [PIVOT_LEAST, PIVOT_LEAST + 31].
-PIVOTS, PIVOT_BITS, PIVOT_LEAST = 12, 5, 16
+#: Reference fingerprints of WORDS x 64 bits. A distance is kept in PIVOT_BITS bits, clipped to [PIVOT_LEAST, PIVOT_LEAST + 63], ten to a word.
+WORDS, PIVOTS, PIVOT_BITS, PIVOT_LEAST, PER_WORD = 4, 20, 6, 96, 10
+#: How many rows of one key one task may hold on each side.
+HOT = 20_000
 #: Sets of at least LARGE elements use BUCKETS buckets.
 LARGE, BUCKETS = 10, 4
 
-_REFERENCES = np.random.default_rng(20).integers(0, 2**64, PIVOTS, np.uint64)
+_REFERENCES = np.random.default_rng(20).integers(0, 2**64, (PIVOTS, WORDS), np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -76,7 +82,7 @@ def _elements(docs: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def sketches(df: DataFrame, key: str, stem: str, options: str) -> DataFrame:
-    """(key, n, k1, k2, fp, pivots, elements): size, 128-bit name of the set, fingerprint, packed distances, elements."""
+    """(key, n, k1, k2, p1, p2, elements): size, 128-bit name of the set, packed distances to the pivots, elements."""
     kind = df.schema[key].dataType.simpleString()
     narrow = df.select(F.col(key).alias("key"), F.col(stem).alias("stem"), F.col(options).alias("options"))
     sql = _words_sql()
@@ -98,39 +104,42 @@ def sketches(df: DataFrame, key: str, stem: str, options: str) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
             at, full = ends[:-1], sizes > 0
             name = np.zeros((2, rows), np.uint64)
-            parity = np.zeros(rows, np.uint64)
+            parity = np.zeros((WORDS, rows), np.uint64)
             if full.any():
                 starts = at[full]
                 name[0, full] = np.add.reduceat(_mix(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
                 name[1, full] = np.bitwise_xor.reduceat(_mix(elements + np.uint64(0x1234567)), starts)
-                parity[full] = np.bitwise_xor.reduceat(np.uint64(1) << (elements & np.uint64(63)), starts)
-            packed = np.zeros(rows, np.uint64)
+                bit, word = np.uint64(1) << (elements & np.uint64(63)), (elements >> np.uint64(6)) % np.uint64(WORDS)
+                for i in range(WORDS):
+                    parity[i, full] = np.bitwise_xor.reduceat(np.where(word == i, bit, np.uint64(0)), starts)
+            packed = np.zeros((PIVOTS // PER_WORD, rows), np.uint64)
             for i, reference in enumerate(_REFERENCES):
-                distance = np.clip(np.bitwise_count(parity ^ reference).astype(np.int64) - PIVOT_LEAST, 0, 2**PIVOT_BITS - 1)
-                packed |= distance.astype(np.uint64) << np.uint64(PIVOT_BITS * i)
+                distance = np.clip(np.bitwise_count(parity ^ reference[:, None]).sum(0, dtype=np.int64) - PIVOT_LEAST, 0, 2**PIVOT_BITS - 1)
+                packed[i // PER_WORD] |= distance.astype(np.uint64) << np.uint64(PIVOT_BITS * (i % PER_WORD))
             yield pa.RecordBatch.from_arrays(
-                [out.column("key").combine_chunks().cast(batch.schema.field(0).type), pa.array(sizes.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (*name, parity, packed)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(elements.view(np.int64)))],
-                ["key", "n", "k1", "k2", "fp", "pivots", "elements"],
+                [out.column("key").combine_chunks().cast(batch.schema.field(0).type), pa.array(sizes.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (*name, *packed)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(elements.view(np.int64)))],
+                ["key", "n", "k1", "k2", "p1", "p2", "elements"],
             )
         con.close()
 
-    return narrow.mapInArrow(run, f"key {kind}, n int, k1 bigint, k2 bigint, fp bigint, pivots bigint, elements array<bigint>")
+    return narrow.mapInArrow(run, f"key {kind}, n int, k1 bigint, k2 bigint, p1 bigint, p2 bigint, elements array<bigint>")
 
 
-def _pairs_of(first: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) for each pair of elements of a row of `first` that fall into the same bucket."""
-    keys, rows = [], []
+def _pairs_of(first: np.ndarray, common: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row, bound) for each pair of elements of a row of `first` that fall into the same bucket; the bound is the lesser count."""
+    keys, rows, bounds = [], [], []
     bucket = (first >> np.uint64(57)) % np.uint64(buckets)
     for i in range(first.shape[1] - 1):
         same = bucket[:, i : i + 1] == bucket[:, i + 1 :]
         low, high = np.minimum(first[:, i : i + 1], first[:, i + 1 :]), np.maximum(first[:, i : i + 1], first[:, i + 1 :])
         keys.append(_mix(low * np.uint64(3) + _mix(high) + np.uint64(buckets))[same])
+        bounds.append(np.minimum(common[:, i : i + 1], common[:, i + 1 :])[same])
         rows.append(np.nonzero(same)[0])
-    return np.concatenate(keys), np.concatenate(rows)
+    return np.concatenate(keys), np.concatenate(rows), np.concatenate(bounds)
 
 
-def pair_keys(classes: DataFrame, frequent: dict[int, int], threshold: float) -> DataFrame:
-    """(pair_key, rep, n, fp, pivots): a row for each pair of first elements of a class that share a bucket."""
+def pair_keys(classes: DataFrame, frequent: dict[int, int], threshold: float, hot: int = HOT) -> DataFrame:
+    """(pair_key, rep, n, p1, p2, parts): a row for each pair of first elements of a class that share a bucket; parts is the side of the key's grid."""
     kind = classes.schema["key"].dataType.simpleString()
     hashes = np.array(sorted(frequent), np.int64)
     counts = np.array([frequent[x] for x in hashes.tolist()], np.int64)
@@ -148,7 +157,8 @@ def pair_keys(classes: DataFrame, frequent: dict[int, int], threshold: float) ->
                 at = np.minimum(np.searchsorted(hashes, values), len(hashes) - 1)
                 common = np.where(hashes[at] == values, counts[at], 0)
             docs = np.repeat(np.arange(len(sizes)), sizes)
-            values = values[np.lexsort((values, common, docs))].view(np.uint64)
+            order = np.lexsort((values, common, docs))
+            values, common = values[order].view(np.uint64), common[order]
             starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
             need = np.ceil(threshold * sizes - 1e-9).astype(np.int64)
             for buckets, shared, used in ((1, 2, (sizes > 1) & (sizes <= both)), (shared_large - 1, shared_large, sizes >= LARGE)):
@@ -157,43 +167,58 @@ def pair_keys(classes: DataFrame, frequent: dict[int, int], threshold: float) ->
                     rows = np.flatnonzero(lengths == length)
                     step = max(1, 400_000 // length**2)
                     for some in (rows[i : i + step] for i in range(0, len(rows), step)):
-                        keys, owners = _pairs_of(values[starts[some][:, None] + np.arange(length)], buckets)
+                        spots = starts[some][:, None] + np.arange(length)
+                        keys, owners, bounds = _pairs_of(values[spots], common[spots], buckets)
                         own = pa.array(some[owners])
-                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(own) for c in ("key", "n", "fp", "pivots"))], ["pair_key", "rep", "n", "fp", "pivots"])
+                        parts = pa.array(np.maximum(1, -(-bounds // hot)).astype(np.int32))
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(own) for c in ("key", "n", "p1", "p2")), parts], ["pair_key", "rep", "n", "p1", "p2", "parts"])
 
-    return classes.select("key", "n", "fp", "pivots", "elements").mapInArrow(run, f"pair_key bigint, rep {kind}, n int, fp bigint, pivots bigint")
+    return classes.select("key", "n", "p1", "p2", "elements").mapInArrow(run, f"pair_key bigint, rep {kind}, n int, p1 bigint, p2 bigint, parts int")
 
 
 def _within(threshold: float) -> Column:
-    """Whether the pair may reach the threshold: no pivot rules it out, and then neither do the fingerprints."""
+    """Whether the pair may reach the threshold: no pivot rules it out. Tried one after the other, until one does."""
     slack = F.floor((F.col("n_a") + F.col("n_b")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-9))
-    part = lambda side, i: F.shiftrightunsigned(f"pivots_{side}", PIVOT_BITS * i).bitwiseAND(2**PIVOT_BITS - 1)
-    by_pivots = F.greatest(*(F.abs(part("a", i) - part("b", i)) for i in range(PIVOTS))) <= slack
-    return by_pivots & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= slack)
-
-
-def classes_and_links(df: DataFrame, key: str = "question_id", stem: str = "stem", options: str = "options", threshold: float = THRESHOLD, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
+    part = lambda side, i: F.shiftrightunsigned(f"p{1 + i // PER_WORD}_{side}", PIVOT_BITS * (i % PER_WORD)).bitwiseAND(2**PIVOT_BITS - 1)
+    out = F.lit(True)
+    for i in range(PIVOTS):
+        out = out & (F.abs(part("a", i) - part("b", i)) <= slack)
+    return out
+
+
+def _meeting(keyed: DataFrame, threshold: float) -> DataFrame:
+    """(rep_a, rep_b) of the rows that share a key and that neither their sizes nor a pivot rules out."""
+    columns = ("pair_key", "rep", "n", "p1", "p2")
+    near = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9) & (F.col("rep_a") < F.col("rep_b")) & _within(threshold)
+    side = lambda df, s: df.select(*(F.col(c).alias(f"{c}_{s}") for c in columns))
+    cool, hot = keyed.where("parts = 1"), keyed.where("parts > 1")
+    met = side(cool, "a").join(side(cool, "b"), (F.col("pair_key_a") == F.col("pair_key_b")) & near)
+    # A cell of the grid is a key of its own: one side is dealt to the rows, the other to the columns.
+    own = F.pmod(F.xxhash64("rep"), F.col("parts"))
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1))
+    rows = hot.select("rep", "n", "p1", "p2", "pair_key", own.alias("own"), each.alias("each"))
+    cells = [rows.withColumn("pair_key", F.xxhash64("pair_key", *order)) for order in (("own", "each"), ("each", "own"))]
+    grid = side(cells[0], "a").join(side(cells[1], "b"), (F.col("pair_key_a") == F.col("pair_key_b")) & near)
+    return met.select("rep_a", "rep_b").unionByName(grid.select("rep_a", "rep_b"))
+
+
+def classes_and_links(df: DataFrame, key: str = "question_id", stem: str = "stem", options: str = "options", threshold: float = THRESHOLD, rare: int = RARE, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Membership (key, rep, n) of every record, and links (rep_a, rep_b) between class representatives, rep_a < rep_b."""
     sketched = stash(sketches(spread(df.select(key, stem, options)), key, stem, options), "sketches")
     named = ["n", "k1", "k2"]
     reps = sketched.groupBy(*named).agg(F.min("key").alias("rep"))
     members = sketched.select("key", *named).distinct().join(reps, named).select("key", "rep", "n")
     total = sketched.count()
-    frequent = {}
-    if total > 2 * rare:
-        counted = sketched.select(F.explode("elements").alias("e")).groupBy("e").count().where(F.col("count") > total / rare)
-        frequent = {r["e"]: r["count"] for r in counted.collect()}
+    counted = sketched.select(F.explode("elements").alias("e")).groupBy("e").count().where(F.col("count") > total / rare)
+    frequent = {r["e"]: r["count"] for r in counted.collect()}
     classes = sketched.join(reps.where("n > 0").select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"])
     # Written once: over two Python steps the optimiser makes the keys, and shuffles them, for each side of the join.
-    keyed = stash(pair_keys(classes, frequent, threshold), "keys")
-    columns = ("pair_key", "rep", "n", "fp", "pivots")
-    a, b = (keyed.select(*(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "ab")
-    near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9
-    candidates = a.join(b, (F.col("pair_key_a") == F.col("pair_key_b")) & (F.col("rep_a") < F.col("rep_b")) & near & _within(threshold)).select("rep_a", "rep_b").distinct()
+    keyed = stash(pair_keys(classes, frequent, threshold, hot), "keys")
+    candidates = _meeting(keyed, threshold).distinct()
     # The columns of both sides are those that `classes` shuffles by key, so that one exchange serves all three.
-    left, right = (sketched.select(F.col("key").alias(f"rep_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "fp", "pivots", "elements"))) for side in "ab")
+    left, right = (sketched.select(F.col("key").alias(f"rep_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "p1", "p2", "elements"))) for side in "ab")
     shared = F.size(F.array_intersect("elements_a", "elements_b"))
-    enough = _within(threshold) & (shared >= (F.col("n_a") + F.col("n_b") - shared) * threshold - 1e-9)
+    enough = shared >= (F.col("n_a") + F.col("n_b") - shared) * threshold - 1e-9
     return members, candidates.join(left, "rep_a").join(right, "rep_b").where(enough).select("rep_a", "rep_b").distinct()
 
 
