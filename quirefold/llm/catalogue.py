@@ -6,26 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import charset, lookalike, neardup, packing, scannoise, subjects, tokens
+from quirefold.llm import charset, lookalike, neardup, oracles, packing, scannoise, subjects, tokens
 from quirefold.session import spread, table
 
-_VALUES = lookalike.values_sql("question_id").replace("batch", "question")
-_WORDS = f"list_filter(list_transform(regexp_split_to_array(lower({lookalike.form_sql('text')}), '\\s+'), lambda w: trim(w, {lookalike.quoted(neardup.EDGE)})), lambda w: w <> '')"
-
-#: Pairs are counted word by word here: exact, and for small tables only.
-ORACLES: dict[str, str] = {
-    "p4_found": f"""
-WITH once AS (SELECT question_id, concat_ws(' ', any_value(stem), array_to_string(list_filter(any_value(options), lambda o: o IS NOT NULL), ' ')) AS text FROM question WHERE question_id IS NOT NULL GROUP BY 1),
-words AS (SELECT question_id, unnest({_WORDS}) AS w FROM once),
-elements AS (SELECT *, row_number() OVER (PARTITION BY question_id, w) AS k FROM words),
-sizes AS (SELECT question_id, count(*) AS n FROM elements GROUP BY 1),
-shared AS (SELECT a.question_id AS question_a, b.question_id AS question_b, count(*) AS s FROM elements a JOIN elements b ON a.w = b.w AND a.k = b.k AND a.question_id < b.question_id GROUP BY 1, 2)
-SELECT question_a, question_b FROM shared JOIN sizes a ON a.question_id = question_a JOIN sizes b ON b.question_id = question_b WHERE 10 * s >= 7 * (a.n + b.n - s)""",
-    "p5_found": f"SELECT DISTINCT question_id, CASE pos WHEN 0 THEN 'stem' ELSE 'option' END AS field, pos::INTEGER AS pos FROM ({_VALUES}) WHERE value <> {lookalike.form_sql('value')}",
-    "p5_forms": f"SELECT question_id, CASE pos WHEN 0 THEN 'stem' ELSE 'option' END AS field, pos::INTEGER AS pos, value, {lookalike.form_sql('value')} AS form FROM ({_VALUES})",
-}
-
-
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charset.found(table(spark, sf_dir, "positioned_item"), table(spark, sf_dir, "question"), table(spark, sf_dir, "font_ref"))
 
@@ -83,3 +66,4 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_texts, p4_found, p4_groups, p5_found, p5_forms, p6_ids, p7_containers, p7_fill, p8_found, p8_shares)}
+ORACLES: dict[str, str] = oracles.ORACLES

@@ -15,6 +15,7 @@ Defined results: null gives null, an empty text stays empty, line breaks and tab
 from __future__ import annotations
 
 from collections.abc import Iterator
+from unicodedata import decomposition, normalize
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +32,10 @@ GREEK, GREEK_AS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοιν", "ABEZHIKMNOPTYXoiv"
 MALAYALAM, MALAYALAM_AS = "\u0d02\u0d03", "\u0d82\u0d83"
 JOINER, KEPT = "\u200d", "\ue001"
 
-WIDE, WIDE_AS = codepoints(0xFF01, 0xFF5E), codepoints(0x21, 0x7E)
+#: Full-width, half-width and small forms, by Unicode's own data; each becomes one or two ordinary characters.
+_WIDTHS = {c: normalize("NFKC", c) for c in codepoints(0xFE50, 0xFE6B) + codepoints(0xFF01, 0xFFEE) if decomposition(c).startswith(("<wide>", "<narrow>", "<small>"))}
+WIDE = "".join(c for c, x in _WIDTHS.items() if len(x) == 1)
+WIDE_AS = "".join(_WIDTHS[c] for c in WIDE)
 STANDINS, STANDINS_AS = CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS
 
 
