@@ -9,10 +9,10 @@ An element of a record is a word with its number of occurrence, so multisets bec
    elements in the same bucket, and an equi-join on the keys finds the candidates. Small sets use one bucket, larger ones
    four, which more than halves the keys; sets that may meet either kind emit both.
 3. Pivot distance tables: a fingerprint is the parity of the elements in 256 bits, so two fingerprints differ in at most
-   as many bits as the sets differ in elements. The Hamming distances to 20 reference fingerprints are computed once; they,
+   as many bits as the sets differ in elements. The Hamming distances to 18 reference fingerprints are computed once; they,
    and not the fingerprints, travel with the keys, packed in two words. By the triangle inequality a pair whose distances
    to any reference differ by more than (1 - t) / (1 + t) * (a + b) cannot reach the threshold and is discarded inside the join.
-4. Survivors are verified, once each, on their elements.
+4. Survivors are verified, once each: on their fingerprints, and what is left on their elements.
 5. Groups: classes that a chain of links connects are one group. Its edges are turned into stars around its smallest
    class by rounds of joins, each written once; the driver gets one truth value a round.
 
@@ -43,13 +43,16 @@ THRESHOLD = 0.7
 RARE = 2_000
 #: Fixed value: the characters that are removed from both ends of a word.
 EDGE = '.,?()“”‘’:!—"'
-#: Reference fingerprints of WORDS x 64 bits. A distance is kept in PIVOT_BITS bits, clipped to [PIVOT_LEAST, PIVOT_LEAST + 63], ten to a word.
-WORDS, PIVOTS, PIVOT_BITS, PIVOT_LEAST, PER_WORD = 4, 20, 6, 96, 10
+#: Reference fingerprints of WORDS x 64 bits. A distance is kept clipped to [PIVOT_LEAST, PIVOT_LEAST + 31], PER_WORD to a word,
+#: each in FIELD bits: five for the distance, one for a sum with the slack, one that a subtraction may borrow.
+WORDS, PIVOTS, PER_WORD, FIELD, PIVOT_LEAST, PIVOT_SPAN = 4, 18, 9, 7, 112, 31
 #: How many rows of one key one task may hold on each side.
 HOT = 20_000
 #: Sets of at least LARGE elements use BUCKETS buckets.
 LARGE, BUCKETS = 10, 4
 
+#: The columns of a fingerprint.
+PRINT = [f"f{i + 1}" for i in range(WORDS)]
 _REFERENCES = np.random.default_rng(20).integers(0, 2**64, (PIVOTS, WORDS), np.uint64)
 
 
@@ -82,7 +85,7 @@ def _elements(docs: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def sketches(df: DataFrame, key: str, stem: str, options: str) -> DataFrame:
-    """(key, n, k1, k2, p1, p2, elements): size, 128-bit name of the set, packed distances to the pivots, elements."""
+    """(key, n, k1, k2, p1, p2, f1..f4, elements): size, 128-bit name of the set, packed distances to the pivots, fingerprint, elements."""
     kind = df.schema[key].dataType.simpleString()
     narrow = df.select(F.col(key).alias("key"), F.col(stem).alias("stem"), F.col(options).alias("options"))
     sql = _words_sql()
@@ -114,15 +117,15 @@ def sketches(df: DataFrame, key: str, stem: str, options: str) -> DataFrame:
                     parity[i, full] = np.bitwise_xor.reduceat(np.where(word == i, bit, np.uint64(0)), starts)
             packed = np.zeros((PIVOTS // PER_WORD, rows), np.uint64)
             for i, reference in enumerate(_REFERENCES):
-                distance = np.clip(np.bitwise_count(parity ^ reference[:, None]).sum(0, dtype=np.int64) - PIVOT_LEAST, 0, 2**PIVOT_BITS - 1)
-                packed[i // PER_WORD] |= distance.astype(np.uint64) << np.uint64(PIVOT_BITS * (i % PER_WORD))
+                distance = np.clip(np.bitwise_count(parity ^ reference[:, None]).sum(0, dtype=np.int64) - PIVOT_LEAST, 0, PIVOT_SPAN)
+                packed[i // PER_WORD] |= distance.astype(np.uint64) << np.uint64(FIELD * (i % PER_WORD))
             yield pa.RecordBatch.from_arrays(
-                [out.column("key").combine_chunks().cast(batch.schema.field(0).type), pa.array(sizes.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (*name, *packed)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(elements.view(np.int64)))],
-                ["key", "n", "k1", "k2", "p1", "p2", "elements"],
+                [out.column("key").combine_chunks().cast(batch.schema.field(0).type), pa.array(sizes.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (*name, *packed, *parity)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(elements.view(np.int64)))],
+                ["key", "n", "k1", "k2", "p1", "p2", *PRINT, "elements"],
             )
         con.close()
 
-    return narrow.mapInArrow(run, f"key {kind}, n int, k1 bigint, k2 bigint, p1 bigint, p2 bigint, elements array<bigint>")
+    return narrow.mapInArrow(run, f"key {kind}, n int, k1 bigint, k2 bigint, p1 bigint, p2 bigint, {', '.join(f'{f} bigint' for f in PRINT)}, elements array<bigint>")
 
 
 def _pairs_of(first: np.ndarray, common: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,14 +179,23 @@ def pair_keys(classes: DataFrame, frequent: dict[int, int], threshold: float, ho
     return classes.select("key", "n", "p1", "p2", "elements").mapInArrow(run, f"pair_key bigint, rep {kind}, n int, p1 bigint, p2 bigint, parts int")
 
 
+def _slack(threshold: float) -> Column:
+    """In how many elements two sets may differ that reach the threshold."""
+    return F.floor((F.col("n_a") + F.col("n_b")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-9))
+
+
 def _within(threshold: float) -> Column:
-    """Whether the pair may reach the threshold: no pivot rules it out. Tried one after the other, until one does."""
-    slack = F.floor((F.col("n_a") + F.col("n_b")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-9))
-    part = lambda side, i: F.shiftrightunsigned(f"p{1 + i // PER_WORD}_{side}", PIVOT_BITS * (i % PER_WORD)).bitwiseAND(2**PIVOT_BITS - 1)
-    out = F.lit(True)
-    for i in range(PIVOTS):
-        out = out & (F.abs(part("a", i) - part("b", i)) <= slack)
-    return out
+    """Whether the pair may reach the threshold: no pivot rules it out.
+
+    All distances of a word are compared at once: slack + b - a borrows from a field's highest bit exactly where a - b is
+    more than the slack, and so for b - a. A slack beyond the span of the distances rules nothing out.
+    """
+    ones = sum(1 << (FIELD * i) for i in range(PER_WORD))
+    guards = F.lit(ones << (FIELD - 1))
+    added = F.least(_slack(threshold), F.lit(PIVOT_SPAN)) * F.lit(ones)
+    kept = lambda x, y: (F.col(y) + added).bitwiseOR(guards) - F.col(x)
+    fine = [kept(f"p{w}_a", f"p{w}_b").bitwiseAND(kept(f"p{w}_b", f"p{w}_a")).bitwiseAND(guards) == guards for w in (1, 2)]
+    return fine[0] & fine[1]
 
 
 def _meeting(keyed: DataFrame, threshold: float) -> DataFrame:
@@ -215,11 +227,14 @@ def classes_and_links(df: DataFrame, key: str = "question_id", stem: str = "stem
     # Written once: over two Python steps the optimiser makes the keys, and shuffles them, for each side of the join.
     keyed = stash(pair_keys(classes, frequent, threshold, hot), "keys")
     candidates = _meeting(keyed, threshold).distinct()
+    prints = [sketched.select(F.col("key").alias(f"rep_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("n", *PRINT))) for side in "ab"]
+    apart = sum((F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in PRINT[1:]), F.bit_count(F.col(f"{PRINT[0]}_a").bitwiseXOR(F.col(f"{PRINT[0]}_b"))))
+    close = candidates.join(prints[0], "rep_a").join(prints[1], "rep_b").where(apart <= _slack(threshold)).select("rep_a", "rep_b").distinct()
     # The columns of both sides are those that `classes` shuffles by key, so that one exchange serves all three.
     left, right = (sketched.select(F.col("key").alias(f"rep_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "p1", "p2", "elements"))) for side in "ab")
     shared = F.size(F.array_intersect("elements_a", "elements_b"))
     enough = shared >= (F.col("n_a") + F.col("n_b") - shared) * threshold - 1e-9
-    return members, candidates.join(left, "rep_a").join(right, "rep_b").where(enough).select("rep_a", "rep_b").distinct()
+    return members, close.join(left, "rep_a").join(right, "rep_b").where(enough).select("rep_a", "rep_b").distinct()
 
 
 def pairs(df: DataFrame, key: str = "question_id", stem: str = "stem", options: str = "options", threshold: float = THRESHOLD) -> DataFrame:
