@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 from unicodedata import category
 
 import numpy as np
@@ -41,19 +42,27 @@ THRESHOLD = 0.35
 DESCRIPTION_WEIGHT, KEPT_WORDS = 3.0, 400_000
 
 #: Combining marks and joiners, which belong to a word but not to \w: without them words of Sinhala break at their vowel signs.
-_MARKS = "".join(c for c in map(chr, range(0x300, 0x20000)) if category(c)[0] == "M") + "\u200c\u200d"
-_MARK = re.compile(f"[{_MARKS}]")
-_PART = rf"[^\W\d_]+(?:[{_MARKS}]+[^\W\d_]*)*"
+#: Those of four bytes stand apart: with them in it, a class is searched one range after the other.
+_MARKS, _FAR_MARKS = ("".join(c for c in map(chr, range(*r)) if category(c)[0] == "M") for r in ((0x300, 0x10000), (0x10000, 0x20000)))
+_MARK = re.compile(f"[{_MARKS}\u200c\u200d]")
+_PART = rf"[^\W\d_]+(?:(?:[{_MARKS}\u200c\u200d]|[{_FAR_MARKS}])+[^\W\d_]*)*"
 _MARKED_WORD = re.compile(rf"{_PART}(?:_{_PART})*")
 #: The same for texts without marks, which it reads faster.
 _WORD = re.compile(r"[^\W\d_]+(?:_[^\W\d_]+)*")
-_PACKED = re.compile(r"[A-Za-z0-9+/]{120,}={0,2}")
+#: Packed binary data: runs of so many of its characters.
+PACKED_RUN = 120
+_PACKED = re.compile(rf"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{{{PACKED_RUN},}}={{0,2}}")
+#: A task scores so many words at once.
+SCORED_WORDS = 200_000
 
 
 def words(text: str) -> list[str]:
     """The words and identifiers of a text in lower case; numbers and packed binary data are none."""
-    pattern = _MARKED_WORD if not text.isascii() and _MARK.search(text) else _WORD
-    return [w for w in pattern.findall(_PACKED.sub(" ", text).lower().replace("\\n", "\n")) if 1 < len(w) <= 40]
+    pattern = _MARKED_WORD if not text.isascii() and (_MARK.search(text) or max(text) > "\uffff") else _WORD
+    # A run of packed data is part of a long piece between white space, which most texts have none of.
+    if max(map(len, text.split()), default=0) >= PACKED_RUN:
+        text = _PACKED.sub(" ", text)
+    return [w for w in pattern.findall(text.lower().replace("\\n", "\n")) if 1 < len(w) <= 40]
 
 
 def buckets(word: str) -> list[int]:
@@ -198,32 +207,66 @@ class Model:
         self.e, self.w, self.b = (x.reshape(s).astype(np.float32) for x, s in zip(np.split(theta, cuts[:-1]), shapes))
         return self
 
-    def outputs(self, texts: list[str | None], known: dict[str, int], vectors: list[np.ndarray]) -> np.ndarray:
-        """The probability of each subject for each text; known and vectors keep each word's share of the outputs."""
+    def outputs(self, texts: list[str | None], words_: "Shares") -> np.ndarray:
+        """The probability of each subject for each text."""
         out = np.zeros((len(texts), len(self.subjects)))
+        ids, starts, ends, docs, firsts = [], [], [], [], []
+
+        def score() -> None:
+            if docs:
+                shares = words_.of(ids)
+                sums = _sums(shares, np.concatenate(starts), np.concatenate(ends)) / WINDOW + self.b
+                out[docs] = 1 / (1 + np.exp(-np.clip(np.maximum.reduceat(sums, firsts), -30, 30)))
+                for x in (ids, starts, ends, docs, firsts):
+                    x.clear()
+
+        count = 0
         for d, text in enumerate(texts):
-            ids = []
-            for word in words(text or ""):
-                i = known.get(word)
-                if i is None:
-                    i = known[word] = len(vectors)
-                    vectors.append(self.e[buckets(word)].mean(0) @ self.w)
-                ids.append(i)
-            if ids:
-                starts, ends = windows(len(ids))
-                shares = np.array([vectors[i] for i in ids]) if len(ids) < 64 else self._table(vectors)[ids]
-                out[d] = 1 / (1 + np.exp(-np.clip((_sums(shares, starts, ends) / WINDOW + self.b).max(0), -30, 30)))
+            found = words(text) if text else []
+            if found:
+                a, b = windows(len(found))
+                starts.append(a + len(ids))
+                ends.append(b + len(ids))
+                firsts.append(count)
+                docs.append(d)
+                ids += words_.number(found)
+                count += len(a)
+            if len(ids) >= SCORED_WORDS:
+                score()
+                count = 0
+        score()
         return out
 
-    def _table(self, vectors: list[np.ndarray]) -> np.ndarray:
-        done = getattr(self, "_done", None)
-        if done is None or len(done[0]) < len(vectors):
-            size = max(4_096, 2 * len(vectors))
-            table = np.zeros((size, len(self.subjects))) if done is None or len(done[1]) < len(vectors) else done[1]
-            start = 0 if done is None or table is not done[1] else len(done[0])
-            table[start : len(vectors)] = np.array(vectors[start:])
-            self._done = (range(len(vectors)), table)
-        return self._done[1]
+
+class Shares:
+    """What each word that a task has met adds to the outputs; begun again when they are more than KEPT_WORDS."""
+
+    def __init__(self, model: Model):
+        self.rows = model.e.astype(np.float64) @ model.w
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((4_096, self.rows.shape[1]))
+        self.done = 0
+
+    def number(self, found: list[str]) -> list[int]:
+        known = self.known
+        return [known.setdefault(w, len(known)) for w in found]
+
+    def of(self, ids: list[int]) -> np.ndarray:
+        """The shares of the numbered words, in the order of their numbers' list."""
+        fresh = list(islice(reversed(self.known), len(self.known) - self.done))[::-1]
+        if fresh:
+            rows = [buckets(w) for w in fresh]
+            sizes = np.array([len(r) for r in rows])
+            added = np.add.reduceat(self.rows[np.fromiter(chain.from_iterable(rows), np.int64, sizes.sum())], np.r_[0, np.cumsum(sizes)[:-1]]) / sizes[:, None]
+            if len(self.known) > len(self.table):
+                self.table = np.vstack([self.table, np.zeros((max(len(self.table), len(fresh)), self.table.shape[1]))])
+            self.table[self.done : len(self.known)] = added
+            self.done = len(self.known)
+        shares = self.table[ids]
+        if self.done > KEPT_WORDS:
+            self.known.clear()
+            self.done = 0
+        return shares
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, reference: DataFrame, subjects: list[str], sample_labels: int = SAMPLE_LABELS) -> DataFrame:
@@ -246,16 +289,11 @@ def classify(documents: DataFrame, labels: DataFrame, reference: DataFrame, thre
     model = Model(subjects).fit(stash(prepared(training_rows(documents, labels, reference, subjects, sample_labels)), "labelled"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        vectors: list[np.ndarray] = []
+        shares = Shares(model)
         for batch in batches:
-            p = model.outputs(batch.column(1).to_pylist(), known, vectors)
+            p = model.outputs(batch.column(1).to_pylist(), shares)
             d, s = np.nonzero(p > threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), pa.array([subjects[i] for i in s], pa.string()), pa.array(p[d, s], pa.float64())], ["doc_id", "subject", "score"])
-            if len(vectors) > KEPT_WORDS:
-                known.clear()
-                vectors.clear()
-                model.__dict__.pop("_done", None)
 
     return spread(documents.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, subject string, score double")
 
@@ -266,7 +304,8 @@ def found(documents: DataFrame, labels: DataFrame, reference: DataFrame) -> Data
 
 
 def shares(documents: DataFrame, labels: DataFrame, reference: DataFrame) -> DataFrame:
-    """(subject, documents, share): how many documents are about each subject, and their share of all documents."""
-    total = documents.select("doc_id").distinct().agg(F.count("*").alias("total"))
+    """(subject, documents, share): how many documents are about each subject of the reference, and their share of all documents."""
+    total = documents.select("doc_id").distinct().agg(F.count("*").alias("total")).scalar()
     counted = found(documents, labels, reference).groupBy("subject").agg(F.count("*").alias("documents"))
-    return counted.crossJoin(F.broadcast(total)).select("subject", "documents", (F.col("documents") / F.col("total")).alias("share"))
+    named = reference.where("subject IS NOT NULL").select("subject").distinct().join(counted, "subject", "left")
+    return named.select("subject", F.coalesce("documents", F.lit(0)).alias("documents")).withColumn("share", F.coalesce(F.try_divide("documents", total), F.lit(0.0)))
