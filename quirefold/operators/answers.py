@@ -39,7 +39,7 @@ def label_columns(numbers: DataFrame) -> DataFrame:
     return _with_columns(numbers).select(*PAGE, F.posexplode_outer("anchors").alias("column_idx", "x")).where("column_idx IS NOT NULL")
 
 
-def label_answers(numbers: DataFrame) -> DataFrame:
+def label_answers(numbers: DataFrame, row_tolerance: float = ROW_TOLERANCE, reach: float = REACH) -> DataFrame:
     """(session_id, page_index, item_idx, label, answer): every label, with its answer or null.
 
     Labels meet answers inside the page's array: one pass over the fragments, and no join.
@@ -49,7 +49,7 @@ def label_answers(numbers: DataFrame) -> DataFrame:
     # The outer form: for the inner one the optimiser derives a filter on the whole expression and computes it once more.
     each = split.select(*PAGE, "answers", F.explode_outer("labels").alias("l")).where("l IS NOT NULL")
     dx = lambda a: a["x"] - F.col("l.x")
-    near = F.filter("answers", lambda a: (F.abs(a["y"] - F.col("l.y")) <= ROW_TOLERANCE) & (dx(a) > 0) & (dx(a) <= REACH))
+    near = F.filter("answers", lambda a: (F.abs(a["y"] - F.col("l.y")) <= row_tolerance) & (dx(a) > 0) & (dx(a) <= reach))
     best = F.array_min(F.transform(near, lambda a: F.struct(dx(a).alias("dx"), a["item_idx"].alias("item_idx"), a["n"].alias("n"))))
     return each.select(*PAGE, F.col("l.item_idx").alias("item_idx"), F.col("l.n").alias("label"), best["n"].alias("answer"))
 

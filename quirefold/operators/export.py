@@ -42,3 +42,30 @@ def may_export(unresolved: DataFrame) -> bool:
 
 def kind_counts(questions: DataFrame) -> DataFrame:
     return questions.groupBy("kind").agg(F.count("*").alias("questions"))
+
+
+def ordered_by_kind(questions: DataFrame, *ties: str) -> DataFrame:
+    """The questions in the order of three lists, one for each kind, each by number; a sort of ranges, not of one list in one task."""
+    return questions.orderBy("kind", "number", *ties)
+
+
+def tab_counts(questions: DataFrame, key: DataFrame) -> DataFrame:
+    """(session_id, tab, n): of each session the questions of each kind, and as `answers` the labels of its key that have an answer."""
+    kinds = questions.groupBy("session_id", F.col("kind").alias("tab")).agg(F.count("*").alias("n"))
+    return kinds.unionByName(key.groupBy("session_id", F.lit("answers").alias("tab")).agg(F.count_distinct("label").alias("n")))
+
+
+def file_name(mode: Column) -> Column:
+    """The name of the exported file."""
+    return F.when(mode == "legacy", F.lit("questions-legacy.xlsx")).otherwise(F.lit("questions.xlsx"))
+
+
+def gate(labelled: DataFrame) -> DataFrame:
+    """(session_id, unresolved, may_export) of each session with labels: an export waits until no label is unresolved."""
+    counts = labelled.groupBy("session_id").agg(F.count_if(F.col("answer").isNull()).alias("unresolved"))
+    return counts.withColumn("may_export", F.col("unresolved") == 0)
+
+
+def page_label(pages: Column) -> Column:
+    """Page indexes as people count them, in one text."""
+    return F.array_join(F.transform(pages, lambda p: (p + 1).cast("string")), ", ")

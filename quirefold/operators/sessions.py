@@ -13,6 +13,48 @@ def latest(saves: DataFrame, key: str = "session_id", version: str = "saved_at")
     return saves.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*others), F.struct(F.col(version), *tie)).alias("r")).select(key, "r.*")
 
 
+def merged(saves: DataFrame, key: str = "session_id", version: str = "saved_at") -> DataFrame:
+    """One row a key with the last value of each field that is not null: a partial save changes only the fields that it names."""
+    others = [c for c in saves.columns if c not in (key, version)]
+    tie = [F.col("source_name")] if "source_name" in others else []
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col(version), *tie))).alias(c)
+    return saves.where(F.col(key).isNotNull()).groupBy(key).agg(*(last(c) for c in others), F.max(version).alias(version))
+
+
+def resolve(asked: DataFrame, saves: DataFrame, key: str = "session_id") -> DataFrame:
+    """(key, is_new) of each key asked for once: new is one that was never saved."""
+    known = saves.select(key).distinct().withColumn("known", F.lit(True))
+    return asked.where(F.col(key).isNotNull()).select(key).distinct().join(known, key, "left").select(key, F.col("known").isNull().alias("is_new"))
+
+
+def initial(keys: DataFrame, created_at: Column, key: str = "session_id") -> DataFrame:
+    """An empty session for each key: at the first step, with nothing chosen, no answers and no source."""
+    fields = {"created_at": created_at, "source_name": F.lit(""), "source_kind": F.lit("pdf"), "question_pages": F.array().cast("array<int>"), "answer_page": F.lit(None).cast("int"), "has_no_answer_sheet": F.lit(False), "answer_key": F.create_map().cast("map<int,int>"), "step": F.lit(1)}
+    return keys.select(key).distinct().select(key, *(v.alias(c) for c, v in fields.items()))
+
+
+def at_step(saved: DataFrame, step: Column) -> DataFrame:
+    """The sessions at another step, all else as it is."""
+    return saved.withColumn("step", step.cast("int"))
+
+
+def back(saved: DataFrame, step: int = 3) -> DataFrame:
+    """The sessions at an earlier step with their results discarded, so that they are extracted again."""
+    return at_step(saved, F.lit(step)).withColumn("answer_key", F.create_map().cast("map<int,int>"))
+
+
+def stale(saves: DataFrame, chosen: Column, key: str = "session_id", version: str = "saved_at") -> DataFrame:
+    """(key, stale): whether the last save of each key chooses otherwise than the one before, so that stored results do not hold.
+
+    `chosen` names a selection (see selection_key). A key that was saved once has nothing stored, which is stale too.
+    Only the two last saves of a key leave each task.
+    """
+    newest = Window.partitionBy(key).orderBy(F.desc(version), F.desc("c"))
+    two = saves.where(F.col(key).isNotNull()).select(key, version, F.coalesce(chosen, F.lit("")).alias("c")).withColumn("r", F.row_number().over(newest)).where("r <= 2")
+    nth = lambda n: F.max(F.when(F.col("r") == n, F.col("c")))
+    return two.groupBy(key).agg(F.coalesce(nth(1) != nth(2), F.lit(True)).alias("stale"))
+
+
 def keep_only(saves: DataFrame, key_value: str, key: str = "session_id") -> DataFrame:
     """What is left when all other keys are deleted."""
     return saves.where(F.col(key) == key_value)
@@ -46,33 +88,42 @@ def toggle_range(selected: Column, last: Column, clicked: Column) -> Column:
 
 
 def apply_edits(questions: DataFrame, edits: DataFrame, key: str) -> DataFrame:
-    """The questions with the non-null values of their edits (key, stem, correct_answer), and `edited` set."""
-    e = edits.select(key, F.col("stem").alias("new_stem"), F.col("correct_answer").alias("new_answer"), F.lit(True).alias("hit"))
+    """The questions with the values of their edits, and `edited` set.
+
+    Edits have the key, any columns of the questions and, if wanted, `cleared`, an array of column names: a column named
+    there becomes null, another takes the edit's value unless that is null.
+    """
+    fields = [c for c in edits.columns if c in questions.columns and c not in (key, "edited")]
+    cleared = F.col("cleared") if "cleared" in edits.columns else F.array().cast("array<string>")
+    e = edits.select(key, F.struct(*fields, F.coalesce(cleared, F.array().cast("array<string>")).alias("cleared")).alias("edit"))
     joined = questions.join(e, key, "left")
-    return joined.withColumns({"stem": F.coalesce("new_stem", "stem"), "correct_answer": F.coalesce("new_answer", "correct_answer"), "edited": F.coalesce("hit", "edited")}).drop("new_stem", "new_answer", "hit")
+    value = lambda c: F.when(F.array_contains("edit.cleared", c), F.lit(None)).otherwise(F.coalesce(f"edit.{c}", c))
+    return joined.withColumns({c: value(c) for c in fields} | {"edited": F.when(F.col("edit").isNotNull(), True).otherwise(F.col("edited"))}).drop("edit")
 
 
 def debounced(events: DataFrame, key: str, ts: str, value: str, tie: str, quiet_seconds: float = 0.4) -> DataFrame:
-    """(key, burst_end, value): the last value of each burst of events; a burst ends with a pause longer than the quiet period."""
+    """(key, burst_end, value): the last value of each burst of events; a burst ends with a pause of at least the quiet period.
+
+    A window looks at neighbours only, but sorts all events of a key in one task; see streaming.debounce for keys of any size.
+    """
     order = Window.partitionBy(key).orderBy(ts, tie)
     pause = F.unix_micros(F.lead(ts).over(order).cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
-    return events.withColumn("p", pause).where(F.col("p").isNull() | (F.col("p") > quiet_seconds * 1e6)).select(key, F.col(ts).alias("burst_end"), F.col(value).alias("value"))
-
+    return events.withColumn("p", pause).where(F.col("p").isNull() | (F.col("p") >= quiet_seconds * 1e6)).select(key, F.col(ts).alias("burst_end"), F.col(value).alias("value"))
 
 
-def set_answer(questions: DataFrame, key: DataFrame, unresolved: DataFrame, session_id: str, number: int, answer: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Questions, key (session_id, label, answer) and unresolved labels after one answer was set, or cleared with None.
+def set_answers(questions: DataFrame, key: DataFrame, unresolved: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions, key (session_id, label, answer) and unresolved labels after the edits (session_id, number, answer).
 
-    All questions of that number take it and count as edited; the label is no longer unresolved.
+    A null answer clears. All questions of an edit's number take its answer and count as edited; the label is no longer
+    unresolved. Edits have one row for each session and number.
     """
-    mine = (F.col("session_id") == session_id) & (F.col("number") == number)
-    value = F.lit(answer).cast("int")
-    asked = questions.withColumns({"correct_answer": F.when(mine, value).otherwise(F.col("correct_answer")), "edited": F.when(mine, F.lit(True)).otherwise(F.col("edited"))})
-    label = (F.col("session_id") == session_id) & (F.col("label") == number)
-    others = key.where(~label).select("session_id", "label", "answer")
-    if answer is not None:
-        others = others.unionByName(key.sparkSession.createDataFrame([(session_id, number, answer)], "session_id string, label bigint, answer bigint"))
-    return asked, others, unresolved.where(~label)
+    chosen = edits.select("session_id", "number", F.col("answer").cast("int").alias("chosen"), F.lit(True).alias("hit"))
+    asked = questions.join(chosen, ["session_id", "number"], "left")
+    asked = asked.withColumns({"correct_answer": F.when(F.col("hit"), F.col("chosen")).otherwise(F.col("correct_answer")), "edited": F.when(F.col("hit"), True).otherwise(F.col("edited"))}).drop("chosen", "hit")
+    labels = edits.select("session_id", F.col("number").cast("bigint").alias("label"))
+    kept = key.select("session_id", "label", "answer").join(labels, ["session_id", "label"], "left_anti")
+    added = edits.where("answer IS NOT NULL").select("session_id", F.col("number").cast("bigint").alias("label"), F.col("answer").cast("bigint").alias("answer"))
+    return asked, kept.unionByName(added), unresolved.join(labels, ["session_id", "label"], "left_anti")
 
 
 class ResultCache:

@@ -34,13 +34,20 @@ def extract(items: DataFrame, images: DataFrame, sessions: DataFrame, scanned_pa
     """Questions of the pages that each session selected, with kind, flags and answer.
 
     `sessions` has one row a session: question_pages (null: all pages), answer_page and has_no_answer_sheet. A session
-    without an answer sheet has no key. Scanned pages are (session_id, page_index).
+    without an answer sheet has no key. Scanned pages are (session_id, page_index). `page_pos` is the place of a page in
+    the selection (the page itself where all are), by which questions of one number stand in order: see `ordered`.
+
+    Sessions meet the list of pages, not the fragments: a session may hold a third of them, a page holds few, and
+    fragments stay partitioned by page.
     """
+    page = list(cleanse.PAGE)
     chosen = sessions.select("session_id", "question_pages", "answer_page", F.coalesce("has_no_answer_sheet", F.lit(False)).alias("no_sheet"))
-    mine = items.join(chosen, "session_id")
-    on_answer_page = ~F.col("no_sheet") & (F.col("page_index") == F.col("answer_page"))
-    sheet = mine.where(on_answer_page).select(*items.columns)
-    page_items = mine.where(F.coalesce(F.array_contains("question_pages", F.col("page_index")), F.col("question_pages").isNull())).select(*items.columns)
+    listed = items.select(*page).distinct().join(chosen, "session_id")
+    place = F.when(F.col("question_pages").isNull(), F.col("page_index").cast("bigint")).otherwise(F.nullif(F.array_position("question_pages", F.col("page_index")), F.lit(0).cast("bigint")))
+    marked = listed.select(*page, (~F.col("no_sheet") & F.coalesce(F.col("page_index") == F.col("answer_page"), F.lit(False))).alias("is_sheet"), place.alias("page_pos"))
+    mine = items.join(marked.where("is_sheet OR page_pos IS NOT NULL"), page)
+    sheet = mine.where("is_sheet").select(*items.columns)
+    page_items = mine.where("page_pos IS NOT NULL").select(*items.columns)
     labelled = answers.label_answers(answers.integers(sheet))
     key = answers.answer_key(labelled)
     raw = questions.parse(lines.group_into_lines(cleanse.strip_watermarks(page_items)))
@@ -50,8 +57,17 @@ def extract(items: DataFrame, images: DataFrame, sessions: DataFrame, scanned_pa
     else:
         kinds = kinds.withColumn("scanned", F.lit(False))
     by_label = key.select("session_id", F.col("label").cast("int").alias("number"), F.col("answer").cast("int").alias("correct_answer"))
-    rows = kinds.join(by_label, ["session_id", "number"], "left").select(
-        "session_id", F.format_string("p%d-q%d", "page_index", "number").alias("id"), "page_index", "q", "number", "stem", "options", "x", "y", "w", "h", "kind",
+    placed = kinds.join(marked.where("page_pos IS NOT NULL").select(*page, "page_pos"), page)
+    rows = placed.join(by_label, ["session_id", "number"], "left").select(
+        "session_id", "page_pos", F.format_string("p%d-q%d", "page_index", "number").alias("id"), "page_index", "q", "number", "stem", "options", "x", "y", "w", "h", "kind",
         classify.flags(F.col("unmapped"), F.coalesce("scanned", F.lit(False))).alias("flags"), "correct_answer", "raw_legacy", F.lit(False).alias("edited"),
     )
     return Extraction(rows, key, answers.unresolved(labelled))
+
+
+def ordered(questions: DataFrame) -> DataFrame:
+    """The questions in order: by session and number, then in the order of the selected pages, then as they stand on the page.
+
+    A sort by ranges of all four, so that one large session is the work of many tasks.
+    """
+    return questions.orderBy("session_id", "number", "page_pos", "q")

@@ -123,7 +123,7 @@ def kind(stem: str, options: str, overlaps: str) -> str:
       WHEN coalesce({words}, false) OR {overlaps} THEN 'figure' ELSE 'straight' END"""
 
 
-def answers(source: str) -> str:
+def answers(source: str, row: float = 4) -> str:
     """CTEs ending in `labelled`, from fragments of that name."""
     return f"""
 ints AS (SELECT session_id, page_index, item_idx, TRY_CAST({trim('str')} AS BIGINT) AS n, x, y FROM {source} WHERE {is_int('str')} AND x IS NOT NULL AND y IS NOT NULL AND TRY_CAST({trim('str')} AS BIGINT) IS NOT NULL),
@@ -133,7 +133,7 @@ cols AS (SELECT *, x AS anchor, 0 AS c FROM seeds WHERE rn = 1 UNION ALL
 columns_ AS (SELECT DISTINCT session_id, page_index, c::INTEGER AS column_idx, anchor AS x FROM cols),
 placed AS (SELECT i.*, EXISTS (SELECT 1 FROM columns_ c WHERE c.session_id = i.session_id AND c.page_index = i.page_index AND abs(c.x - i.x) <= 3) AS lab FROM ints i),
 near AS (SELECT l.session_id, l.page_index, l.item_idx, a.n AS answer, row_number() OVER (PARTITION BY l.session_id, l.page_index, l.item_idx ORDER BY a.x - l.x, a.item_idx) AS r
-  FROM placed l JOIN placed a ON l.lab AND NOT a.lab AND a.n BETWEEN 1 AND 5 AND a.session_id = l.session_id AND a.page_index = l.page_index AND abs(a.y - l.y) <= 4 AND a.x - l.x > 0 AND a.x - l.x <= 40),
+  FROM placed l JOIN placed a ON l.lab AND NOT a.lab AND a.n BETWEEN 1 AND 5 AND a.session_id = l.session_id AND a.page_index = l.page_index AND abs(a.y - l.y) <= {row} AND a.x - l.x > 0 AND a.x - l.x <= 40),
 labelled AS (SELECT l.session_id, l.page_index, l.item_idx, l.n AS label, n.answer FROM placed l LEFT JOIN near n ON n.session_id = l.session_id AND n.page_index = l.page_index AND n.item_idx = l.item_idx AND n.r = 1 WHERE l.lab)"""
 
 
@@ -177,7 +177,7 @@ ORACLES = {
     "suggest_question_pages": _w(ITEMS, STATS, last="SELECT session_id, page_index FROM stats WHERE markers >= 4 AND ratio < 0.2"),
     "suggest_answer_page": _w(ITEMS, STATS, last="SELECT session_id, page_index FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ratio DESC, page_index) AS r FROM stats WHERE ints >= 40 AND ratio >= 0.15) WHERE r = 1"),
     "ocr_clean": "SELECT DISTINCT ON (line_id) line_id, replace(text, chr(8204), '') AS text FROM text_line WHERE source = 'ocr' ORDER BY line_id, loaded_at",
-    "ocr_to_points": f"SELECT line_id, replace(text, chr(8204), '') AS str, bbox.x * 4 / 4.0 AS x, (842.0 * 4 - (842.0 * 4 - bbox.y * 4)) / 4.0 AS y, (bbox.x * 4 + bbox.w * 4 - bbox.x * 4) / 4.0 AS w, ((842.0 * 4 - bbox.y * 4) - (842.0 * 4 - bbox.y * 4 - bbox.h * 4)) / 4.0 AS h, 'OCR' AS font FROM (SELECT DISTINCT ON (line_id) * FROM text_line WHERE source = 'ocr' ORDER BY line_id, loaded_at) WHERE {trim('replace(text, chr(8204), ' + q('') + ')')} <> ''",
+    "ocr_to_points": f"SELECT line_id, replace(text, chr(8204), '') AS str, bbox.x / 2.0 AS x, (3000.0 - (bbox.y + bbox.h)) / 2.0 AS y, (bbox.x + bbox.w - bbox.x) / 2.0 AS w, (bbox.y + bbox.h - bbox.y) / 2.0 AS h, 'OCR' AS font FROM (SELECT DISTINCT ON (line_id) * FROM text_line WHERE source = 'ocr' ORDER BY line_id, loaded_at) WHERE {trim('replace(text, chr(8204), ' + q('') + ')')} <> ''",
     "font_tables": "SELECT font, " + NAME + " AS name, " + coded("'a'") + " AS is_legacy FROM (SELECT DISTINCT font FROM positioned_item WHERE font IS NOT NULL)",
     "distinct_fonts": "SELECT DISTINCT " + NAME + " AS font FROM positioned_item WHERE font IS NOT NULL",
     "legacy_convert": _w(ITEMS, CONVERTED, last="SELECT item_id, text, unmapped::BIGINT AS unmapped FROM conv"),
@@ -194,9 +194,15 @@ ORACLES = {
     "answer_pairs": _w(ITEMS, LATEST, SHEETS, answers("sheet"), last="SELECT session_id, page_index, item_idx, label, answer FROM labelled"),
     "answer_key": _w(ITEMS, LATEST, SHEETS, answers("sheet"), KEY, last="SELECT session_id, page_index, label, answer FROM keyed"),
     "answer_unresolved": _w(ITEMS, LATEST, SHEETS, answers("sheet"), last="SELECT session_id, page_index, item_idx, label FROM labelled WHERE answer IS NULL"),
+    "answer_unresolved_strict": _w(ITEMS, LATEST, SHEETS, answers("sheet", 0.25), last="SELECT session_id, page_index, item_idx, label FROM labelled WHERE answer IS NULL"),
+    "valid_answers": _w(QUESTIONS, last="SELECT question_id, nullif(number, 7) AS typed FROM qs WHERE number IN (1, 2, 3, 4, 5, 7)  OR number IS NULL"),
+    "export_gate": _w(ITEMS, LATEST, SHEETS, answers("sheet", 0.25), last="SELECT session_id, count(*) FILTER (answer IS NULL) AS unresolved, count(*) = count(answer) AS may_export, CASE WHEN count(*) = count(answer) THEN 'questions-legacy.xlsx' ELSE 'questions.xlsx' END AS file_name FROM labelled GROUP BY session_id"),
+    "resolve_fonts": _w(ITEMS, last="SELECT item_id, coalesce(r.family, i.font) AS font FROM items i LEFT JOIN font_ref r ON r.font = i.font"),
+    "item_files": _w(ITEMS, last="SELECT session_id, page_index, (row_number() OVER (PARTITION BY session_id, page_index ORDER BY item_idx) - 1)::INTEGER AS item_idx, str, x, y, w, h, font FROM items"),
+    "recognise_isolated": "SELECT line_id, CASE WHEN regexp_matches(text, '[0-9]') THEN 'failed' ELSE 'ok' END AS status, CASE WHEN regexp_matches(text, '[0-9]') THEN 0 ELSE len(string_split(text, ' ')) END::INTEGER AS words FROM (SELECT DISTINCT ON (line_id) line_id, text FROM text_line WHERE source = 'ocr' ORDER BY line_id, loaded_at)",
     "answer_grid": _w(ITEMS, LATEST, SHEETS, answers("sheet"), last="SELECT session_id, greatest(40, max(label))::BIGINT AS cells FROM labelled GROUP BY session_id"),
     "assemble": _w(ITEMS, CONVERTED, MARKS, BARE, LATEST, SELECTED, SHEETS, lines("chosen"), SEGMENTS, PARSED, answers("sheet"), KEY, IMAGES, last=f"""
-SELECT p.session_id, 'p' || p.page_index || '-q' || p.number AS id, p.page_index, p.q::BIGINT AS q, p.number, p.stem, array_to_string(p.options, '|') AS options, p.x, p.y, p.w, p.h, {kind('p.stem', 'p.options', OVERLAP)} AS kind,
+SELECT p.session_id, (SELECT CASE WHEN s.question_pages IS NULL THEN p.page_index ELSE list_position(s.question_pages, p.page_index) END::BIGINT FROM latest s WHERE s.session_id = p.session_id) AS page_pos, 'p' || p.page_index || '-q' || p.number AS id, p.page_index, p.q::BIGINT AS q, p.number, p.stem, array_to_string(p.options, '|') AS options, p.x, p.y, p.w, p.h, {kind('p.stem', 'p.options', OVERLAP)} AS kind,
   CASE WHEN p.unmapped > 0 THEN 'unmapped-glyph' ELSE '' END AS flags, k.answer::INTEGER AS correct_answer, p.raw_legacy, false AS edited
 FROM parsed p LEFT JOIN keyed k ON k.session_id = p.session_id AND k.label = p.number"""),
     "assemble_scanned": _w(ITEMS, LATEST, SHEETS, answers("sheet"), KEY, IMAGES, f"""
@@ -208,9 +214,25 @@ chosen AS (SELECT b.* FROM taken b JOIN latest s ON s.session_id = b.session_id
   WHERE NOT EXISTS (SELECT 1 FROM noise n WHERE n.session_id = b.session_id AND n.page_index = b.page_index AND n.t = {trim('b.str')}))""", lines("chosen"), SEGMENTS, PARSED, last=f"""
 SELECT p.session_id, 'p' || p.page_index || '-q' || p.number AS id, p.page_index, p.q::BIGINT AS q, p.number, p.stem, array_to_string(p.options, '|') AS options, {kind('p.stem', 'p.options', OVERLAP)} AS kind, 'ocr' AS flags, k.answer::INTEGER AS correct_answer
 FROM parsed p LEFT JOIN keyed k ON k.session_id = p.session_id AND k.label = p.number"""),
+    "question_order": _w(ITEMS, CONVERTED, MARKS, BARE, LATEST, SELECTED, SHEETS, lines("chosen"), SEGMENTS, PARSED, last="""
+SELECT p.session_id, p.number, CASE WHEN s.question_pages IS NULL THEN p.page_index ELSE list_position(s.question_pages, p.page_index) END::BIGINT AS page_pos, p.page_index, p.q::BIGINT AS q, 'p' || p.page_index || '-q' || p.number AS id FROM parsed p JOIN latest s USING (session_id)"""),
     "export_unicode": _w(QUESTIONS, last=_export("stem", "options")),
     "export_legacy": _w(QUESTIONS, last=_export(SPLIT_STEM, SPLIT_OPTIONS)),
     "kind_counts": _w(QUESTIONS, last="SELECT kind, count(*) AS questions FROM qs GROUP BY kind"),
+    "kind_lists": _w(QUESTIONS, last="SELECT question_id, kind, number FROM qs"),
+    "tab_counts": _w(QUESTIONS, ITEMS, LATEST, SHEETS, answers("sheet"), last="SELECT session_id, kind AS tab, count(*) AS n FROM qs GROUP BY ALL UNION ALL SELECT session_id, 'answers', count(DISTINCT label) FROM labelled WHERE answer IS NOT NULL GROUP BY session_id"),
+    "session_merged": """
+WITH parts AS (SELECT session_id, saved_at, answer_page, CASE WHEN second(saved_at) % 2 = 0 THEN source_name END AS source_name, CASE WHEN second(saved_at) % 2 = 0 THEN step END AS step FROM exam_session WHERE session_id IS NOT NULL)
+SELECT session_id, max(epoch_us(saved_at)) AS saved_us, (list(answer_page ORDER BY saved_at DESC, source_name DESC NULLS LAST) FILTER (answer_page IS NOT NULL))[1] AS answer_page,
+  (list(source_name ORDER BY saved_at DESC, source_name DESC) FILTER (source_name IS NOT NULL))[1] AS source_name, (list(step ORDER BY saved_at DESC, source_name DESC NULLS LAST) FILTER (step IS NOT NULL))[1] AS step FROM parts GROUP BY session_id""",
+    "session_resolve": "SELECT s AS session_id, s NOT IN (SELECT session_id FROM exam_session WHERE session_id IS NOT NULL) AS is_new FROM (SELECT DISTINCT unnest([session_id, session_id || '-new']) AS s FROM positioned_item WHERE session_id IS NOT NULL)",
+    "session_initial": "SELECT s AS session_id, '' AS source_name, 'pdf' AS source_kind, NULL::INTEGER AS answer_page, false AS has_no_answer_sheet, 1 AS step, 1700000000000000 AS created_us, 0 AS pages, 0 AS answers FROM (SELECT DISTINCT unnest([session_id, session_id || '-new']) AS s FROM positioned_item WHERE session_id IS NOT NULL) WHERE s NOT IN (SELECT session_id FROM exam_session WHERE session_id IS NOT NULL)",
+    "session_back": _w(LATEST, last="SELECT session_id, 3 AS step, answer_page, 0 AS answers FROM latest"),
+    "session_step": _w(LATEST, last="SELECT session_id, CASE WHEN step < 4 THEN step + 1 ELSE 4 END AS step FROM latest"),
+    "session_stale": """
+WITH saves AS (SELECT session_id, to_json({'questionPages': question_pages, 'answerPage': answer_page, 'hasNoAnswerSheet': has_no_answer_sheet})::VARCHAR AS c, saved_at FROM exam_session WHERE session_id IS NOT NULL),
+listed AS (SELECT session_id, list(c ORDER BY saved_at DESC, c DESC) AS l FROM saves GROUP BY 1)
+SELECT session_id, coalesce(l[1] <> l[2], true) AS stale FROM listed""",
     "session_latest": _w(LATEST, last="SELECT session_id, source_name, step, answer_page, epoch_us(saved_at) AS saved_us FROM latest"),
     "session_keep_one": "SELECT session_id, epoch_us(saved_at) AS saved_us, step FROM exam_session WHERE session_id = 's00000001'",
     "selection_key": _w(LATEST, last="SELECT session_id, to_json({'questionPages': question_pages, 'answerPage': answer_page, 'hasNoAnswerSheet': has_no_answer_sheet})::VARCHAR AS selection_key FROM latest"),
@@ -223,10 +245,25 @@ FROM latest s LEFT JOIN (SELECT session_id, page_index FROM (SELECT *, row_numbe
     "range_toggle": _w(LATEST, last="""
 SELECT session_id, array_to_string(list_sort(CASE WHEN list_contains(question_pages, 4) THEN list_filter(question_pages, lambda p: p NOT BETWEEN 1 AND 4) ELSE list_distinct(list_concat(question_pages, [1, 2, 3, 4])) END), ',') AS pages
 FROM latest WHERE question_pages IS NOT NULL"""),
-    "apply_edits": _w(QUESTIONS, "edits AS (SELECT question_id, stem || ' *' AS stem, CASE WHEN question_id % 2 = 0 THEN 1 END AS correct_answer FROM qs WHERE kind = 'figure')", last="SELECT q.question_id, coalesce(e.stem, q.stem) AS stem, coalesce(e.correct_answer, q.correct_answer) AS correct_answer, CASE WHEN e.question_id IS NOT NULL THEN true ELSE q.edited END AS edited FROM qs q LEFT JOIN edits e USING (question_id)"),
-    "debounced_writes": "SELECT user_id, epoch_us(ts) AS burst_end, value FROM (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS pause FROM events) WHERE pause IS NULL OR pause > 86400000000",
+    "apply_edits": _w(QUESTIONS, last="""
+SELECT question_id, stem || CASE WHEN kind = 'figure' THEN ' *' ELSE '' END AS stem, array_to_string(CASE WHEN kind = 'figure' THEN list_reverse(options) ELSE options END, '|') AS options,
+  CASE WHEN kind = 'figure' THEN 'special' ELSE kind END AS kind, CASE WHEN kind <> 'figure' THEN correct_answer WHEN page_index % 2 = 0 THEN NULL WHEN page_index % 3 = 0 THEN 1 ELSE correct_answer END AS correct_answer,
+  edited OR kind = 'figure' AS edited FROM qs"""),
+    "set_answers": _w(QUESTIONS, last="SELECT question_id, CASE number WHEN 3 THEN 1 WHEN 5 THEN NULL WHEN 8 THEN 6 ELSE correct_answer END AS correct_answer, edited OR coalesce(number IN (3, 5, 8), false) AS edited FROM qs"),
+    "set_answers_key": _w(QUESTIONS, ITEMS, LATEST, SHEETS, answers("sheet"), KEY, "hit AS (SELECT DISTINCT session_id, number FROM qs WHERE number IN (3, 5, 8))", last="""
+SELECT session_id, label, answer FROM keyed k WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.session_id = k.session_id AND h.number = k.label)
+UNION ALL SELECT session_id, number::BIGINT, (number - 2)::BIGINT FROM hit WHERE number <> 5"""),
+    "debounced_keystrokes": """
+WITH strokes AS (SELECT user_id, epoch_us(ts) + d AS us, event_id * 4 + n AS stroke FROM events, (VALUES (0, 0), (1, 300000), (2, 700000), (3, 1500000)) AS k(n, d))
+SELECT user_id, us AS burst_end, stroke AS value FROM (SELECT *, lead(us) OVER (PARTITION BY user_id ORDER BY us, stroke) - us AS pause FROM strokes) WHERE pause IS NULL OR pause >= 400000""",
+    "debounced_writes": "SELECT user_id, epoch_us(ts) AS burst_end, value FROM (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS pause FROM events) WHERE pause IS NULL OR pause >= 86400000000",
     "url_audit": _w(HOSTS, last="SELECT host, count(*) AS n, CASE WHEN host IN ('cdn.jsdelivr.net', 'unpkg.com', 'cdnjs.cloudflare.com', 'esm.sh', 'fonts.googleapis.com', 'fonts.gstatic.com', 'raw.githubusercontent.com') THEN 'asset' ELSE 'unknown' END AS reason FROM hosts WHERE host NOT IN ('classroom.net') GROUP BY host"),
-    "affine_regions": _w(IMAGES, last="SELECT session_id, page_index, round(least(x, x + w), 6) AS x, round(least(y, y + h), 6) AS y, round(greatest(x, x + w) - least(x, x + w), 6) AS w, round(greatest(y, y + h) - least(y, y + h), 6) AS h FROM imgs WHERE w IS NOT NULL"),
+    "affine_regions": _w(IMAGES, last="""
+SELECT region_id, k, round(bx, 6) AS x, round("by", 6) AS y, round(bw, 6) AS w, round(bh, 6) AS h FROM (
+  SELECT region_id, 0 AS k, x + least(w, 0) AS bx, y + least(h, 0) AS "by", abs(w) AS bw, abs(h) AS bh FROM imgs WHERE w IS NOT NULL
+  UNION ALL SELECT region_id, 1, x - greatest(h, 0), y + least(w, 0), abs(h), abs(w) FROM imgs WHERE w IS NOT NULL
+  UNION ALL SELECT region_id, 2, x, y, 1, 1 FROM imgs WHERE w IS NOT NULL
+  UNION ALL SELECT region_id, 3, least(w, 0), least(h, 0), abs(w), abs(h) FROM imgs WHERE w IS NOT NULL)"""),
     "screen_boxes": _w(RAW, last="SELECT rq_id, x * 1.4 - 6 AS \"left\", (842.0 - y - 9) * 1.4 - 6 AS top, w * 1.4 + 12 AS width, (h + 9) * 1.4 + 6 + 2 AS height FROM raws"),
-    "failed_pages": _w(LATEST, last="SELECT session_id, p::INTEGER AS page_index, (p + 1)::VARCHAR AS label FROM (SELECT session_id, unnest(ocr_failed_pages) AS p FROM latest)"),
+    "failed_pages": _w(LATEST, last="SELECT session_id, array_to_string(list_transform(ocr_failed_pages, lambda p: (p + 1)::VARCHAR), ', ') AS label FROM latest WHERE len(ocr_failed_pages) > 0"),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -15,26 +16,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Inputs of fewer bytes are small: moving them costs little, and leaving them to a few tasks costs much.
+SMALL = 64 << 20
+
+
 def spread(df: DataFrame, key: Column | None = None) -> DataFrame:
-    """Give a DataFrame that has fewer partitions than the cluster has cores one partition per core.
+    """Give a small DataFrame (below SMALL bytes, by the planner's estimate) one partition per core if it has fewer.
 
-    A table of one small file scans in one task, which leaves a costly expression to one core. Large inputs have more
-    scan partitions than cores and pass through without a shuffle.
+    A table of one small file scans in one task, which leaves a costly expression to one core. A larger input is left as
+    the scan splits it (spark.sql.files.maxPartitionBytes), whatever the number of cores, and passes through without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SMALL or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, key) if key is not None else df.repartition(cores)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or a local one where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset, a local master gets a temporary folder, removed when the driver ends; on a cluster that is an
+    error, since each machine would write into a folder of its own.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='quirefold-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-        atexit.register(_remove, spark, at)
-    return at
+    if at:
+        return at
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='quirefold-')}"
+        atexit.register(_remove, spark, _LOCAL_FOLDERS[context.applicationId])
+    return _LOCAL_FOLDERS[context.applicationId]
+
+
+#: The temporary folders of local masters, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:

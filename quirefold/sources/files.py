@@ -16,10 +16,23 @@ ITEM = "str string, x double, y double, w double, h double, font string"
 REGION = "map<string, array<struct<x: double, y: double, w: double, h: double>>>"
 
 
+def parse_items(texts: DataFrame, text: str) -> DataFrame:
+    """The other columns, item_idx and `i`, a fragment, for each element of a JSON array of fragments; what is none gives no row."""
+    kept = [c for c in texts.columns if c != text]
+    listed = F.from_json(text, f"array<struct<{ITEM.replace(' string', ': string').replace(' double', ': double')}>>")
+    return texts.select(*kept, F.posexplode(listed).alias("item_idx", "i"))
+
+
+def items_json(items: DataFrame) -> DataFrame:
+    """(session_id, page_index, value): the fragments of a page as one JSON array, in their order. A page is one sheet."""
+    fields = [f.split()[0] for f in ITEM.split(", ")]
+    listed = F.array_sort(F.collect_list(F.struct("item_idx", F.struct(*fields).alias("i"))))
+    return items.groupBy("session_id", "page_index").agg(F.to_json(F.transform(listed, lambda r: r["i"]), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def read_items(spark: SparkSession, path: str, session_id: str, page_index: int) -> DataFrame:
     """The fragments of a file that holds one JSON array; their order in the array becomes item_idx."""
-    whole = spark.read.text(path, wholetext=True)
-    listed = whole.select(F.posexplode(F.from_json("value", f"array<struct<{ITEM.replace(' string', ': string').replace(' double', ': double')}>>")).alias("item_idx", "i"))
+    listed = parse_items(spark.read.text(path, wholetext=True), "value")
     return listed.select(F.lit(session_id).alias("session_id"), F.lit(page_index).alias("page_index"), "item_idx", "i.*")
 
 

@@ -139,7 +139,7 @@ def test_answers_that_are_set(spark):
     asked = spark.createDataFrame([("s", 1, None, False), ("s", 2, 3, False), ("t", 1, None, False)], "session_id string, number int, correct_answer int, edited boolean")
     key = spark.createDataFrame([("s", 2, 3)], "session_id string, label long, answer long")
     left = spark.createDataFrame([("s", 1)], "session_id string, label long")
-    rows, newkey, newleft = sessions.set_answer(asked, key, left, "s", 1, 4)
+    rows, newkey, newleft = sessions.set_answers(asked, key, left, spark.createDataFrame([("s", 1, 4)], "session_id string, number int, answer int"))
     assert {(r["session_id"], r["number"]): (r["correct_answer"], r["edited"]) for r in rows.collect()} == {("s", 1): (4, True), ("s", 2): (3, False), ("t", 1): (None, False)}
     assert {(r["label"], r["answer"]) for r in newkey.collect()} == {(2, 3), (1, 4)} and newleft.count() == 0
     cache = sessions.ResultCache()
