@@ -33,15 +33,14 @@ UNMAPPED = "\u27e8?\u27e9"
 # Classes of signs, and pairs of signs that make one, in the order in which they are replaced.
 _PREFIX = "ෙේෛ"
 _CONSONANT = "ක-ෆ"
-_MARK = ""
 PAIRS = (
     ("ේ", "ේ"), ("ො", "ො"), ("ෞ", "ෞ"), ("ේා", "ෝ"),
-    ("ෙ", "ෝ"), ("ෙෙ", "ෛ"), ("", "ා"),
+    ("ෙ\ue000", "ෝ"), ("ෙෙ", "ෛ"), ("\ue000", "ා"),
 )
-_PASSED = r"[0-9\-\s   -     　﻿]"
+_PASSED = r"[0-9\-\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 #: A prefix vowel run with the consonant cluster that it stands before, or a stretch without prefix vowels.
-_CLUSTER = f"(?s)[{_PREFIX}][^{_CONSONANT}]*(?:[{_CONSONANT}](?:්‍[{_CONSONANT}])*|\\z)|[^{_PREFIX}]+"
+_CLUSTER = f"(?s)[{_PREFIX}][^{_CONSONANT}]*(?:[{_CONSONANT}](?:්\u200d[{_CONSONANT}])*|\\z)|[^{_PREFIX}]+"
 
 
 def token_pattern() -> str:
@@ -66,7 +65,7 @@ def convert(text: Column) -> Column:
     out = F.array_join(moved, "")
     for pair, sign in PAIRS:
         out = F.replace(out, F.lit(pair), F.lit(sign))
-    return F.regexp_replace(out, f"([ා-ෟ])(්‍[{_CONSONANT}])", "$2$1")
+    return F.regexp_replace(out, f"([ා-ෟ])(්\u200d[{_CONSONANT}])", "$2$1")
 
 
 def unmapped(text: Column) -> Column:
@@ -83,4 +82,4 @@ def strip_prefix(font: Column) -> Column:
 def uses_table(text: Column, font: Column) -> Column:
     """Whether a fragment is legacy-encoded: a known or FM font, and no Sinhala character in the text. Null fonts are not."""
     name = strip_prefix(font)
-    return F.coalesce((name.isin(*FONTS) | name.rlike("(?i)^FM")) & ~text.rlike("[඀-෿]"), F.lit(False))
+    return F.coalesce((name.isin(*FONTS) | name.rlike("(?i)^FM")) & ~text.rlike("[\u0d80-\u0dff]"), F.lit(False))

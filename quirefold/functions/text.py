@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The white space characters, for inside a character class.
-SPACE = r"\t\n\x0B\f\r    -     　﻿"
+SPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS = f"[{SPACE}]"
 
 # Fixed patterns of question text.

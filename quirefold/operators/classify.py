@@ -9,7 +9,7 @@ from quirefold.functions.text import SPACE, WS, trim
 from quirefold.operators.cleanse import PAGE
 
 # The words of a stem that point at a picture or table, and the patterns of enumerations.
-FIGURE_WORDS = ("රූපය", "රූපයේ", "සිතියම", "සිතියමේ", "වගුව", "වගුවේ", "ප්‍රස්තාරය")
+FIGURE_WORDS = ("රූපය", "රූපයේ", "සිතියම", "සිතියමේ", "වගුව", "වගුවේ", "ප්\u200dරස්තාරය")
 LETTERS_ONLY = rf"(?i)^[A-E](?:{WS}*(?:හා|යා|සහ|,|and)?{WS}*[A-E])*\z"
 ENUMERATION = rf"(?s)(?:^|{WS})A{WS}+[^{SPACE}]+.*(?:^|{WS})B{WS}+[^{SPACE}]+"
 STRAIGHT_OPTIONS = (4, 5)

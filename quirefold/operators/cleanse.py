@@ -54,7 +54,7 @@ def strip_watermarks(items: DataFrame, min_repeats: int = MIN_REPEATS) -> DataFr
 
 def clean_recognised(text: Column) -> Column:
     """Recognised text without zero-width non-joiners; joiners, which conjuncts need, stay."""
-    return F.replace(text, F.lit("‌"), F.lit(""))
+    return F.replace(text, F.lit("\u200c"), F.lit(""))
 
 
 def words_to_items(words: DataFrame, height: Column, scale: float = OCR_SCALE) -> DataFrame:

@@ -36,10 +36,13 @@ def join_texts(texts: Column) -> Column:
 
     def step(s: Column, t: Column) -> Column:
         glued = (s["i"] == 1) & F.element_at(texts, 1).rlike(r"^[0-9]{1,2}\z")
-        bare = (s["i"] == 0) | glued | s["out"].rlike(rf"{WS}\z") | t.rlike(f"^{WS}")
-        return F.struct((s["i"] + 1).alias("i"), F.concat(s["out"], F.when(bare, F.lit("")).otherwise(F.lit(" ")), t).alias("out"))
+        bare = (s["i"] == 0) | glued | s["last"].rlike(rf"{WS}\z") | t.rlike(f"^{WS}")
+        # What the joined text ends with is its last piece that is not empty: only that is tested, however long the line is.
+        last = F.when(t == "", s["last"]).otherwise(t)
+        return F.struct((s["i"] + 1).alias("i"), last.alias("last"), F.concat(s["out"], F.when(bare, F.lit("")).otherwise(F.lit(" ")), t).alias("out"))
 
-    return F.aggregate(texts, F.struct(F.lit(0).alias("i"), F.lit("").alias("out")), step, lambda s: s["out"])
+    start = F.struct(F.lit(0).alias("i"), F.lit("").alias("last"), F.lit("").alias("out"))
+    return F.aggregate(texts, start, step, lambda s: s["out"])
 
 
 def line_numbers(items: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:

@@ -28,7 +28,7 @@ MARKER = r"\(\s*[1-5]\s*\)|\^\s*[1-5]\s*&"
 WRONG_CODECS = ("cp437", "cp850", "mac_roman", "cp1250", "cp1251")
 
 #: Private-use characters that stand for a masked quote, an empty quoted value and a delimiter.
-_QUOTE, _EMPTY, _CUT = "", "", ""
+_QUOTE, _EMPTY, _CUT = "\ue010", "\ue011", "\ue012"
 _BEFORE_BYTES = "ÂÃâ¶·€\x80"
 
 

@@ -95,10 +95,10 @@ def apply_edits(questions: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     """
     fields = [c for c in edits.columns if c in questions.columns and c not in (key, "edited")]
     cleared = F.col("cleared") if "cleared" in edits.columns else F.array().cast("array<string>")
-    e = edits.select(key, F.struct(*fields, F.coalesce(cleared, F.array().cast("array<string>")).alias("cleared")).alias("edit"))
+    e = edits.select(key, F.struct(*fields, F.coalesce(cleared, F.array().cast("array<string>")).alias("cleared")).alias("_edit_"))
     joined = questions.join(e, key, "left")
-    value = lambda c: F.when(F.array_contains("edit.cleared", c), F.lit(None)).otherwise(F.coalesce(f"edit.{c}", c))
-    return joined.withColumns({c: value(c) for c in fields} | {"edited": F.when(F.col("edit").isNotNull(), True).otherwise(F.col("edited"))}).drop("edit")
+    value = lambda c: F.when(F.array_contains("_edit_.cleared", c), F.lit(None)).otherwise(F.coalesce(f"_edit_.{c}", c))
+    return joined.withColumns({c: value(c) for c in fields} | {"edited": F.when(F.col("_edit_").isNotNull(), True).otherwise(F.col("edited"))}).drop("_edit_")
 
 
 def debounced(events: DataFrame, key: str, ts: str, value: str, tie: str, quiet_seconds: float = 0.4) -> DataFrame:
@@ -117,9 +117,9 @@ def set_answers(questions: DataFrame, key: DataFrame, unresolved: DataFrame, edi
     A null answer clears. All questions of an edit's number take its answer and count as edited; the label is no longer
     unresolved. Edits have one row for each session and number.
     """
-    chosen = edits.select("session_id", "number", F.col("answer").cast("int").alias("chosen"), F.lit(True).alias("hit"))
+    chosen = edits.select("session_id", "number", F.col("answer").cast("int").alias("_chosen_"), F.lit(True).alias("_hit_"))
     asked = questions.join(chosen, ["session_id", "number"], "left")
-    asked = asked.withColumns({"correct_answer": F.when(F.col("hit"), F.col("chosen")).otherwise(F.col("correct_answer")), "edited": F.when(F.col("hit"), True).otherwise(F.col("edited"))}).drop("chosen", "hit")
+    asked = asked.withColumns({"correct_answer": F.when(F.col("_hit_"), F.col("_chosen_")).otherwise(F.col("correct_answer")), "edited": F.when(F.col("_hit_"), True).otherwise(F.col("edited"))}).drop("_chosen_", "_hit_")
     labels = edits.select("session_id", F.col("number").cast("bigint").alias("label"))
     kept = key.select("session_id", "label", "answer").join(labels, ["session_id", "label"], "left_anti")
     added = edits.where("answer IS NOT NULL").select("session_id", F.col("number").cast("bigint").alias("label"), F.col("answer").cast("bigint").alias("answer"))
