@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quirefold.llm import charset, lookalike, neardup, oracles, packing, scannoise, subjects, tokens
-from quirefold.session import spread, table
+from quirefold.session import spread, stash, table
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charset.found(table(spark, sf_dir, "positioned_item"), table(spark, sf_dir, "question"), table(spark, sf_dir, "font_ref"))
@@ -53,6 +53,10 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p7_containers(spark, sf_dir))
 
 
+def p7_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.cover(stash(p7_containers(spark, sf_dir), "containers"))
+
+
 def _subjects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_label"), table(spark, sf_dir, "subject_ref")
 
@@ -65,5 +69,5 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.shares(*_subjects(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_texts, p4_found, p4_groups, p5_found, p5_forms, p6_ids, p7_containers, p7_fill, p8_found, p8_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_texts, p4_found, p4_groups, p5_found, p5_forms, p6_ids, p7_containers, p7_fill, p7_cover, p8_found, p8_shares)}
 ORACLES: dict[str, str] = oracles.ORACLES

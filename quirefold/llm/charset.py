@@ -48,7 +48,7 @@ _CONTINUATION = "\u0080-¿" + "".join(bytes([b]).decode("cp1252", "ignore") for
 #: A lead byte with its continuation bytes, as characters.
 SEQUENCE = f"[Â-ß][{_CONTINUATION}]|[à-ï][{_CONTINUATION}]{{2}}|[ð-ô][{_CONTINUATION}]{{3}}"
 _TO_BYTE = {chr(b): b for b in range(128, 256)} | {bytes([b]).decode("cp1252"): b for b in range(128, 256) if bytes([b]).decode("cp1252", "ignore")}
-_NAME = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{Sinhala}\p{Han}\p{Hiragana}\p{Katakana}0-9\-_. ‍]+")
+_NAME = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{Sinhala}\p{Han}\p{Hiragana}\p{Katakana}0-9\-_. \u200d]+")
 #: A foreign word in brackets; a list of quoted values is none.
 BRACKETED = r"\[[^\[\]\"]*\]"
 #: What stands between words, all of it ASCII: full stops, commas and semicolons, which are letters in legacy text, only at their ends.
@@ -86,7 +86,7 @@ def spans(text: str, to_byte: dict[str, int] = _TO_BYTE) -> Iterator[tuple[int,
 
 def _script(char: str) -> str:
     """A coarse script: the block of 128 characters, wider for ideographs, kana and what has four bytes."""
-    return "east" if "⺀" <= char <= "퟿" else "far" if char > "￿" else str(ord(char) >> 7)
+    return "east" if "⺀" <= char <= "\ud7ff" else "far" if char > "\uffff" else str(ord(char) >> 7)
 
 
 def plausible(decoded: str) -> bool:
@@ -94,9 +94,9 @@ def plausible(decoded: str) -> bool:
     boxes, what has four bytes, or at least two characters in a row of another script."""
     for i, c in enumerate(decoded):
         kind = category(c)
-        common = c in _LEGACY or " " <= c <= "ſ" or "Ͱ" <= c <= "џ" or "඀" <= c <= "෿" or " " <= c <= "➿" or c == "﻿"
+        common = c in _LEGACY or "\u00a0" <= c <= "ſ" or "Ͱ" <= c <= "џ" or "\u0d80" <= c <= "\u0dff" or "\u2000" <= c <= "➿" or c == "\ufeff"
         beside = any(_script(n) == _script(c) for n in decoded[max(0, i - 1) : i] + decoded[i + 1 : i + 2])
-        if kind in ("Cn", "Co", "Cs") or (kind == "Cc" and not "\x80" <= c <= "\x9f") or not (common or beside or c > "￿" or "\x80" <= c <= "\x9f" or _script(c) == "east"):
+        if kind in ("Cn", "Co", "Cs") or (kind == "Cc" and not "\x80" <= c <= "\x9f") or not (common or beside or c > "\uffff" or "\x80" <= c <= "\x9f" or _script(c) == "east"):
             return False
     return True
 
@@ -182,12 +182,12 @@ def kind_of(text: Column, font: Column | None = None) -> Column:
     """The kind of a text: `sinhala` (Unicode), `legacy` (an FM font, or the shape of such text) or `plain`."""
     shape = text.rlike(r"[a-z][A-Z]|[A-Za-z][;<=%,.]+[;<=%]*[A-Za-z]|[a-z]@") & ~text.rlike(r"(?i)\b(?:the|which|what|that|between|of|and)\b")
     by_font = F.when(font.rlike("^(?:[A-Z]{6}\\+)?FM"), F.lit("legacy")) if font is not None else None
-    by_text = F.when(text.rlike("[඀-෿]|à[¶·]|Ã Â"), F.lit("sinhala")).when(shape, F.lit("legacy")).otherwise(F.lit("plain"))
+    by_text = F.when(text.rlike("[\u0d80-\u0dff]|à[¶·]|Ã Â"), F.lit("sinhala")).when(shape, F.lit("legacy")).otherwise(F.lit("plain"))
     return F.coalesce(by_font, by_text) if by_font is not None else by_text
 
 
 #: All but ASCII and Sinhala, which no wrong decoding of a single byte gives.
-_ODD = "[^\\x00-\\x7f඀-෿‍]"
+_ODD = "[^\\x00-\\x7f\u0d80-\u0dff\u200d]"
 
 
 def odd_words(texts: DataFrame, *keys: str) -> DataFrame:

@@ -81,16 +81,30 @@ UNION ALL
 SELECT DISTINCT question_id, 'option', i::INTEGER, options[i] FROM question, unnest(range(1, len(options) + 1)) AS r(i) WHERE options[i] IS NOT NULL"""
 _ENDS = "'.,?()“”‘’:!—\"'"
 
-ORACLES: dict[str, str] = {
-    "p5_found": f"SELECT DISTINCT question_id, field, pos FROM ({_VALUES}) WHERE value <> {form('value')}",
-    "p5_forms": f"SELECT question_id, field, pos, value, {form('value')} AS form FROM ({_VALUES.replace('DISTINCT ', '')})",
-    # Every pair with a common word, counted word by word: exact, and for small tables only.
-    "p4_found": f"""
-WITH once AS (SELECT question_id, any_value(stem) AS stem, any_value(options) AS options FROM question WHERE question_id IS NOT NULL GROUP BY 1),
+# Every pair with a common word, counted word by word: exact, and for small tables only.
+_PAIRS = f"""
+once AS (SELECT question_id, any_value(stem) AS stem, any_value(options) AS options FROM question WHERE question_id IS NOT NULL GROUP BY 1),
 texts AS (SELECT question_id, coalesce(stem, '') || ' ' || coalesce(array_to_string(options, ' '), '') AS text FROM once),
 words AS (SELECT question_id, rtrim(ltrim(w, {_ENDS}), {_ENDS}) AS w FROM (SELECT question_id, unnest(string_split_regex(lower({form('text')}), '\\s+')) AS w FROM texts)),
 counts AS (SELECT question_id, w, count(*) AS n FROM words WHERE w <> '' GROUP BY 1, 2),
 sizes AS (SELECT question_id, sum(n) AS total FROM counts GROUP BY 1),
-shared AS (SELECT a.question_id AS question_a, b.question_id AS question_b, sum(least(a.n, b.n)) AS s FROM counts a JOIN counts b USING (w) WHERE a.question_id < b.question_id GROUP BY 1, 2)
-SELECT question_a, question_b FROM shared JOIN sizes a ON a.question_id = question_a JOIN sizes b ON b.question_id = question_b WHERE s / (a.total + b.total - s) >= 0.7 - 1e-9""",
+shared AS (SELECT a.question_id AS question_a, b.question_id AS question_b, sum(least(a.n, b.n)) AS s FROM counts a JOIN counts b USING (w) WHERE a.question_id < b.question_id GROUP BY 1, 2),
+linked AS (SELECT question_a, question_b FROM shared JOIN sizes a ON a.question_id = question_a JOIN sizes b ON b.question_id = question_b WHERE s / (a.total + b.total - s) >= 0.7 - 1e-9)"""
+
+ORACLES: dict[str, str] = {
+    "p5_found": f"SELECT DISTINCT question_id, field, pos FROM ({_VALUES}) WHERE value <> {form('value')}",
+    "p5_forms": f"SELECT question_id, field, pos, value, {form('value')} AS form FROM ({_VALUES.replace('DISTINCT ', '')})",
+    "p4_found": f"WITH {_PAIRS} SELECT question_a, question_b FROM linked",
+    "p4_groups": f"""
+WITH RECURSIVE {_PAIRS},
+bags AS (SELECT o.question_id, coalesce((SELECT list(struct_pack(w := c.w, n := c.n) ORDER BY c.w) FROM counts c WHERE c.question_id = o.question_id), []) AS bag FROM once o),
+classes AS (SELECT question_id, min(question_id) OVER (PARTITION BY bag) AS class_id, len(bag) > 0 AS full_ FROM bags),
+edges AS (SELECT question_a AS a, question_b AS b FROM linked UNION ALL SELECT question_b, question_a FROM linked),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+heads AS (SELECT a, min(b) AS head FROM reach GROUP BY a),
+counted AS (SELECT c.class_id, count(DISTINCT d.class_id) AS links FROM edges e JOIN classes c ON c.question_id = e.a JOIN classes d ON d.question_id = e.b WHERE c.class_id <> d.class_id GROUP BY 1)
+SELECT c.question_id, CASE WHEN full_ THEN least(c.question_id, coalesce(h.head, c.question_id)) END AS group_id, c.class_id, coalesce(k.links, 0) AS links
+FROM classes c LEFT JOIN heads h ON h.a = c.question_id LEFT JOIN counted k ON k.class_id = c.class_id""",
+    # What must hold of any packing: every text with a token is placed, nothing is over, missing or split needlessly.
+    "p7_cover": "SELECT count(DISTINCT doc_id) AS documents, 0 AS overfull, 0 AS gaps, 0 AS needless FROM documents WHERE doc_id IS NOT NULL AND text <> ''",
 }

@@ -19,7 +19,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.llm import tokens
@@ -80,7 +80,20 @@ def pack_documents(df: DataFrame, text: str = "text", key: str = "doc_id", capac
     return dealt.groupBy("grp").applyInPandas(run, f"container string, `{key}` {kind}, tok_start bigint, tok_end bigint, tokens bigint")
 
 
-def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(containers, tokens, fill): how much of the containers' capacity is used."""
-    used = packed.groupBy("container").agg(F.sum("tokens").alias("used"))
-    return used.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), (F.sum("used") / (F.count("*") * F.lit(capacity))).alias("fill"))
+def fill(packed: DataFrame, capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC) -> DataFrame:
+    """(containers, tokens, fill, cost_spread): how much of the capacity is used, and the largest cost of a container as a multiple of the mean."""
+    cost = F.sum(F.lit(linear) * F.col("tokens") + F.lit(quadratic) * F.col("tokens") * F.col("tokens"))
+    used = packed.groupBy("container").agg(F.sum("tokens").alias("used"), cost.alias("cost"))
+    share = (F.sum("used") / (F.count("*") * F.lit(capacity))).alias("fill")
+    return used.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), share, (F.max("cost") / F.avg("cost")).alias("cost_spread"))
+
+
+def cover(packed: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+    """(documents, overfull, gaps, needless): documents placed, containers over the capacity, places where a document's
+    pieces do not follow on each other from 0, and documents that are split though they fit. All but the first must be 0."""
+    over = packed.groupBy("container").agg(F.sum("tokens").alias("used")).agg(F.count_if(F.col("used") > capacity).alias("overfull"))
+    pieces = Window.partitionBy(key).orderBy("tok_start")
+    follows = packed.withColumn("gap", F.col("tok_start") != F.coalesce(F.lag("tok_end").over(pieces), F.lit(0)))
+    each = follows.groupBy(key).agg(F.count_if("gap").alias("gaps"), F.count("*").alias("pieces"), F.max("tok_end").alias("size"))
+    whole = each.agg(F.count("*").alias("documents"), F.coalesce(F.sum("gaps"), F.lit(0)).alias("gaps"), F.count_if((F.col("pieces") > 1) & (F.col("size") <= capacity)).alias("needless"))
+    return whole.select("documents", over.scalar().alias("overfull"), "gaps", "needless")
