@@ -47,6 +47,42 @@ def test_all_pairs(spark, vocabulary, longest):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("hot", [2, 7])
+def test_hot_keys_in_grids_lose_no_pair(spark, hot):
+    rows = made(random.Random(5), 150, 12, 6)
+    df = spark.createDataFrame(rows, "question_id long, stem string, options array<string>")
+    members, links = neardup.classes_and_links(df, hot=hot)
+    of = {r["key"]: r["rep"] for r in members.collect()}
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {tuple(sorted((of[a], of[b]))) for a, b in brute(rows) if of[a] != of[b]}
+
+
+def test_variants_of_one_template_that_share_its_rare_words(spark):
+    # All meet on one key and no two reach the threshold: each cell of the grid is small, and pivots discard inside the join.
+    rng = random.Random(3)
+    rows = [(k, "zircon quartzite " + " ".join(f"w{rng.randrange(40)}" for _ in range(12)), None) for k in range(3_000)]
+    df = spark.createDataFrame(rows, "question_id long, stem string, options array<string>")
+    _, links = neardup.classes_and_links(df, hot=500)
+    some = {k: words(s, None) for k, s, _ in rows}
+    got = [(r["rep_a"], r["rep_b"]) for r in links.collect()]
+    assert all(10 * sum((some[a] & some[b]).values()) >= 7 * sum((some[a] | some[b]).values()) for a, b in got)
+
+
+def test_pivots_rule_out_no_pair_that_reaches_the_threshold():
+    # The packed comparison against one distance at a time, at the edges of its fields.
+    rng = random.Random(1)
+    ones = sum(1 << (neardup.FIELD * i) for i in range(neardup.PER_WORD))
+    guards = ones << (neardup.FIELD - 1)
+    pack = lambda d: sum(x << (neardup.FIELD * i) for i, x in enumerate(d))
+    for _ in range(5_000):
+        a, b = ([rng.choice([0, 31, rng.randrange(32)]) for _ in range(neardup.PER_WORD)] for _ in "ab")
+        slack = rng.randrange(32)
+        kept = lambda x, y: ((y + slack * ones) | guards) - x
+        assert ((kept(pack(a), pack(b)) & kept(pack(b), pack(a)) & guards) == guards) == all(abs(x - y) <= slack for x, y in zip(a, b))
+        assert kept(pack(a), pack(b)) < 2**63
+
+
 def test_frequent_elements_change_the_order_only(spark):
     rows = made(random.Random(9), 200, 80, 20)
     df = spark.createDataFrame(rows, "question_id long, stem string, options array<string>")
