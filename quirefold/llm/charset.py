@@ -94,7 +94,7 @@ def plausible(decoded: str) -> bool:
     boxes, what has four bytes, or at least two characters in a row of another script."""
     for i, c in enumerate(decoded):
         kind = category(c)
-        common = c in _LEGACY or "\u00a0" <= c <= "ſ" or "Ͱ" <= c <= "џ" or "\u0d80" <= c <= "\u0dff" or "\u2000" <= c <= "➿" or c == "\ufeff"
+        common = c in _LEGACY or "\u00a0" <= c <= "ſ" or "Ά" <= c <= "ώ" or "Ѐ" <= c <= "џ" or "\u0d80" <= c <= "\u0dff" or "\u2000" <= c <= "➿" or c == "\ufeff"
         beside = any(_script(n) == _script(c) for n in decoded[max(0, i - 1) : i] + decoded[i + 1 : i + 2])
         if kind in ("Cn", "Co", "Cs") or (kind == "Cc" and not "\x80" <= c <= "\x9f") or not (common or beside or c > "\uffff" or "\x80" <= c <= "\x9f" or _script(c) == "east"):
             return False
@@ -113,11 +113,15 @@ def decoded_again(text: str, to_byte: dict[str, int] = _TO_BYTE) -> Iterator[str
 
 
 def repair_sequences(text: str) -> str:
-    """The text with its plausible multibyte spans decoded, span by span, again while spans are found."""
+    """The text with its plausible multibyte spans decoded, span by span, again while spans are found.
+
+    A span of nothing but legacy characters may be legacy text: it is left, and needs evidence from words.
+    """
     while True:
         out, at = [], 0
         for start, end, decoded in spans(text):
-            if any(True for _ in spans(decoded)) or plausible(decoded):
+            own = all(c in _LEGACY for c in text[start:end])
+            if any(True for _ in spans(decoded)) or (plausible(decoded) and not own):
                 out += [text[at:start], decoded]
                 at = end
         if not out:
