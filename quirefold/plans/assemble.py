@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.operators import answers, classify, cleanse, lines, pages, questions
 
+#: More partitions than any table has.
+MOST_PARTITIONS = (1 << 31) - 1
+
 
 @dataclass
 class Extraction:
@@ -23,11 +26,21 @@ def with_recognised(items: DataFrame, page_list: DataFrame, recognised: DataFram
     """Fragments with the pages that hold too few of them replaced by what a recogniser read, and the pages it read.
 
     A page that it failed on, or was not given, has no fragments; recognised has the columns of items.
+
+    Fragments, what was read and the list of pages meet in one exchange by page, where a window counts. A union of tables that
+    are partitioned alike would report their partitioning, which changes while a query adapts: joins above it then fail
+    by unequal numbers of partitions. `coalesce` moves nothing and reports no partitioning.
     """
-    page = list(cleanse.PAGE)
-    few = pages.needs_recognition(page_list, items).where("needs_ocr").select(*page)
-    read = recognised.join(few, page, "left_semi")
-    return items.join(few, page, "left_anti").select(*items.columns).unionByName(read.select(*items.columns)), read.select(*page).distinct()
+    kinds = dict(items.dtypes)
+    listed = page_list.select(*cleanse.PAGE).distinct().select(*(c if c in cleanse.PAGE else F.lit(None).cast(kinds[c]).alias(c) for c in items.columns))
+    parts = {"own": items, "read": recognised.select(*items.columns), "listed": listed}
+    own, read, asked = (df.withColumn("_of", F.lit(of)) for of, df in parts.items())
+    together = own.unionByName(read).unionByName(asked).coalesce(MOST_PARTITIONS)
+    page = Window.partitionBy(*cleanse.PAGE)
+    known = F.col("session_id").isNotNull() & F.col("page_index").isNotNull()
+    few = known & (F.count_if(F.col("_of") == "listed").over(page) > 0) & (F.count_if(F.col("_of") == "own").over(page) < pages.OCR_LEAST_ITEMS)
+    kept = together.withColumn("_few", few).where("_of = 'own' AND NOT _few OR _of = 'read' AND _few")
+    return kept.select(*items.columns), kept.where("_of = 'read'").select(*cleanse.PAGE).distinct()
 
 
 def extract(items: DataFrame, images: DataFrame, sessions: DataFrame, scanned_pages: DataFrame | None = None) -> Extraction:
