@@ -17,7 +17,9 @@ class BoostedTrees:
     def fit(self, x: np.ndarray, y: np.ndarray) -> "BoostedTrees":
         if not len(y):
             return self
-        edges = [np.unique(np.quantile(column, np.linspace(0, 1, self.bins + 1)[1:-1])) for column in x.T]
+        # Quantiles of each class: those of all rows would not tell the few of a rare class apart.
+        at, classes = np.linspace(0, 1, self.bins + 1)[1:-1], [y == value for value in np.unique(y)]
+        edges = [np.unique(np.concatenate([np.quantile(column[rows], at) for rows in classes])) for column in x.T]
         binned = np.stack([np.searchsorted(e, column, side="left") for e, column in zip(edges, x.T)], axis=1)
         rate = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
         self.base = float(np.log(rate / (1 - rate)))

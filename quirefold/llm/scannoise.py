@@ -9,7 +9,7 @@ Stages, all over whole tables:
    fitted on lines of clean pages, as they stand, with a free dash after them, and broken inside a word by hand.
 3. Lexicon: counts of the words of all clean texts (text pages, stems and options of questions that were not scanned).
 4. Candidates: words of scanned content that are not in the lexicon meet lexicon words in an inverted join on character
-   trigrams: of each word its PROBES rarest trigrams that the lexicon knows, or all of them where `probes` is null.
+   trigrams: all lexicon words that share any trigram with a word and are of nearly its length, however many.
 5. Ranking: gradient-boosted trees score each (word, candidate) by how their spelling differs, how often such a difference
    occurs on scanned against clean pages, and how frequent the candidate is. They are fitted on a bounded sample with true
    labels: clean words into which such differences are planted, of which the clean word is the one right candidate, and
@@ -35,7 +35,6 @@ from quirefold.session import hashed_sample, spread, stash
 
 #: The bounds of the training samples: page lines, and words of either class whose rows fit the trees. Counts know no bound.
 SAMPLE_LINES, SAMPLE_WORDS = 20_000, 1_500
-PROBES = 5
 #: By how many characters a correction may be longer or shorter.
 REACH = 2
 #: So many lexicon words of one trigram a task may hold; the rows of a commoner one are dealt into cells.
@@ -206,11 +205,11 @@ def inverted(known: DataFrame, least_count: int = LEAST_COUNT) -> DataFrame:
     return known.where(F.col("count") >= least_count).select(F.col("word").alias("candidate"), "count", F.explode(F.array_distinct(_grams(F.col("word")))).alias("gram"))
 
 
-def candidates(unknown: DataFrame, index: DataFrame, probes: int | None = PROBES, reach: int = REACH, hot: int = HOT_GRAM) -> DataFrame:
+def candidates(unknown: DataFrame, index: DataFrame, probes: int | None = None, reach: int = REACH, hot: int = HOT_GRAM) -> DataFrame:
     """(word, scanned, candidate, count): lexicon words that share trigrams with a word and are of nearly its length.
 
-    A word is looked up by its `probes` rarest trigrams, and a long one must share two of them. With null it is looked up
-    by all, and one shared trigram is enough: then every word of the index within `reach` that shares any trigram is found.
+    A word is looked up by all its trigrams, and one shared trigram is enough: every word of the index within `reach` that
+    shares any trigram is found. With `probes` it is looked up by so many of its rarest, and a long one must share two of them.
     A trigram of more than `hot` lexicon words is split: its words are dealt into cells, and what asks for it asks in each.
     """
     looked = unknown.select("word", "scanned", F.explode(F.array_distinct(_grams(F.col("word")))).alias("gram"))
@@ -317,10 +316,20 @@ def planted(known: DataFrame, ratios: DataFrame, most: int) -> DataFrame:
 class Ranker:
     """The fitted trees; small, and sent to the tasks with the plan."""
 
-    def __init__(self, rows: list[tuple[str, str, int, float, float, bool]]):
-        """Rows are (word, candidate, count, least, total, whether the candidate is right)."""
-        x = np.array([features(*r[:-1]) for r in rows], float).reshape(-1, 10)
-        self.trees = BoostedTrees().fit(x, np.array([r[-1] for r in rows], float))
+    def __init__(self, rows: DataFrame):
+        """Rows are (word, candidate, count, least, total, whether the candidate is right); only numbers reach the driver."""
+        names = [f"f{i}" for i in range(10)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.array([features(*r) for r in zip(*(c.to_pylist() for c in batch.columns[:5]))], float).reshape(-1, 10)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(5).cast(pa.float64()), *map(pa.array, x.T)], ["word", "candidate", "right", *names])
+
+        schema = f"word string, candidate string, right double, {', '.join(f'{n} double' for n in names)}"
+        shown = rows.select("word", "candidate", "count", "least", "total", "right").mapInArrow(run, schema)
+        table = shown.orderBy("word", "candidate", "right").select(*names, "right").toArrow()
+        *x, y = (table.column(n).to_numpy() for n in (*names, "right"))
+        self.trees = BoostedTrees().fit(np.stack(x, axis=1), y)
 
     def score(self, rows: list[tuple[str, str, int, float, float]]) -> np.ndarray:
         """The probability that each replacement is right."""
@@ -343,7 +352,7 @@ def corrections(found: DataFrame, lines: DataFrame, questions: DataFrame) -> Dat
     right = shown.select(*values, (F.col("candidate") == F.col("truth")).alias("right"))
     clean = pairs.where("NOT scanned").select("word").distinct().orderBy(F.xxhash64("word"), "word").limit(SAMPLE_WORDS)
     wrong = pairs.where("NOT scanned").join(F.broadcast(clean), "word").select(*values, F.lit(False).alias("right"))
-    ranker = Ranker([tuple(r) for r in right.unionByName(wrong).orderBy("word", "candidate").collect()])
+    ranker = Ranker(right.unionByName(wrong))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

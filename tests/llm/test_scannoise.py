@@ -145,3 +145,24 @@ def test_no_difference_is_crowded_out(spark):
     assert ratios["c", "d"] < 0
     rated = {r["word"]: r for r in scannoise.with_ratios(edited, scannoise.edit_ratios(edited)).where("NOT scanned").collect()}
     assert rated["markac"]["least"] == rated["markac"]["total"] == ratios["c", "d"]
+
+
+def test_no_candidate_is_dropped_by_a_cap(spark):
+    """A long word whose five rarest trigrams are all misread shares only common ones with its correction."""
+    known = spark.createDataFrame([("harbourkeeper", 5), *((f"har{c}", 5) for c in "abcdefgh"), *((f"mkeep{c}", 5) for c in "abcdefgh"), *((w, 5) for w in ("arzq", "zqxvk", "vkke", "pxy"))], "word string, count long")
+    unknown = spark.createDataFrame([("harzqxvkkeepxy", True)], "word string, scanned boolean")
+    index = scannoise.inverted(known)
+    found = {r["candidate"] for r in scannoise.candidates(unknown, index).collect()}
+    assert "harbourkeeper" in found
+    assert found == {r["candidate"] for r in scannoise.candidates(unknown, index, None).collect()}
+    assert "harbourkeeper" not in {r["candidate"] for r in scannoise.candidates(unknown, index, 5).collect()}
+
+
+def test_a_rare_class_is_told_apart():
+    """Of 20,000 rows 60 are right, by a small value that quantiles of all rows do not reach."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(3, 12, size=(20_000, 2)).astype(float)
+    x[:60, 0], x[60:160, 0] = 1, 2
+    y = (np.arange(20_000) < 60).astype(float)
+    p = BoostedTrees().fit(x, y).predict(np.array([[1.0, 5.0], [2.0, 5.0], [7.0, 5.0]]))
+    assert p[0] > 0.5 > p[1] and p[2] < 0.5
