@@ -20,17 +20,23 @@ class BoostedTrees:
         # Quantiles of each class: those of all rows would not tell the few of a rare class apart.
         at, classes = np.linspace(0, 1, self.bins + 1)[1:-1], [y == value for value in np.unique(y)]
         edges = [np.unique(np.concatenate([np.quantile(column[rows], at) for rows in classes])) for column in x.T]
-        binned = np.stack([np.searchsorted(e, column, side="left") for e, column in zip(edges, x.T)], axis=1)
-        rate = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
+        rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.base = float(np.log(rate / (1 - rate)))
+        binned = [np.searchsorted(e, column, side="left") for e, column in zip(edges, x.T)]
+        # Rows of the same bins and class are one row that weighs as many: no split can tell them apart.
+        same = np.unique(y, return_inverse=True)[1]
+        for column, e in zip(binned, edges):
+            same = np.unique(same * (len(e) + 1) + column, return_inverse=True)[1]
+        _, first, weight = np.unique(same, return_index=True, return_counts=True)
+        x, y, binned = x[first], y[first], np.stack([column[first] for column in binned], axis=1)
         score = np.full(len(y), self.base)
-        for _ in range(self.rounds if len(y) else 0):
+        for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-score))
-            gradient, curve = y - p, p * (1 - p) + 1e-6
+            gradient, curve = weight * (y - p), weight * (p * (1 - p) + 1e-6)
             node = np.zeros(len(y), int)
             tree: list[tuple[int, float]] = []
             for level in range(self.depth):
-                splits = [self._split(binned, edges, gradient, curve, np.flatnonzero(node == n)) for n in range(2**level)]
+                splits = [self._split(binned, edges, gradient, curve, weight, np.flatnonzero(node == n)) for n in range(2**level)]
                 tree += splits
                 feature = np.array([f for f, _ in splits])[node]
                 cut = np.array([c for _, c in splits])[node]
@@ -42,17 +48,17 @@ class BoostedTrees:
             score = score + self.leaves[-1][node]
         return self
 
-    def _split(self, binned, edges, gradient, curve, rows) -> tuple[int, float]:
+    def _split(self, binned, edges, gradient, curve, weight, rows) -> tuple[int, float]:
         best = (0.0, 0, np.inf)
-        g, c = gradient[rows], curve[rows]
-        for f in range(binned.shape[1] if len(rows) >= 2 * self.least else 0):
+        g, c, w = gradient[rows], curve[rows], weight[rows]
+        for f in range(binned.shape[1] if w.sum() >= 2 * self.least else 0):
             n = len(edges[f]) + 1
             if n < 2:
                 continue
             left_g, left_c = np.cumsum(np.bincount(binned[rows, f], g, n))[:-1], np.cumsum(np.bincount(binned[rows, f], c, n))[:-1]
-            size = np.cumsum(np.bincount(binned[rows, f], minlength=n))[:-1]
+            size = np.cumsum(np.bincount(binned[rows, f], w, n))[:-1]
             gain = left_g**2 / (left_c + 1) + (g.sum() - left_g) ** 2 / (c.sum() - left_c + 1) - g.sum() ** 2 / (c.sum() + 1)
-            gain = np.where((size >= self.least) & (len(rows) - size >= self.least), gain, 0)
+            gain = np.where((size >= self.least) & (w.sum() - size >= self.least), gain, 0)
             at = int(np.argmax(gain))
             if gain[at] > best[0]:
                 best = (float(gain[at]), f, float(edges[f][at]))
@@ -60,16 +66,14 @@ class BoostedTrees:
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """The probability of class 1 of each row."""
-        score = np.full(len(x), self.base)
-        rows = np.arange(len(x))
+        score, columns = np.full(len(x), self.base), np.ascontiguousarray(x.T)
         for tree, leaf in zip(self.trees, self.leaves):
-            node, first = np.zeros(len(x), int), 0
-            for level in range(self.depth):
-                splits = tree[first : first + 2**level]
-                first += 2**level
-                feature = np.array([f for f, _ in splits])[node]
-                node = 2 * node + (x[rows, feature] > np.array([c for _, c in splits])[node])
-            score += leaf[node]
+            # The splits of a level lie side by side; from the last level up, each row takes the half that its value names.
+            held = list(leaf)
+            for level in range(self.depth - 1, -1, -1):
+                splits = tree[2**level - 1 : 2 ** (level + 1) - 1]
+                held = [np.where(columns[f] > cut, held[2 * n + 1], held[2 * n]) for n, (f, cut) in enumerate(splits)]
+            score += held[0]
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 

@@ -49,6 +49,7 @@ LEAST_COUNT = 2
 # The dashes that break words, and what is stripped from the ends of words.
 DASHES = "-‐–¬"
 EDGE = r"\s.,?()\[\]“”‘’:;!—\"'"
+EDGES = " \t\n\v\f\r.,?()[]“”‘’:;!—\"'"
 _NUMBER = r"(?:[ivxlc]{1,5}|\d{1,6})"
 PAGE_NUMBER = rf"(?i)(?:[-=\[|]\s*{_NUMBER}\s*[-=\]|]|(?:\p{{L}}[\p{{L}}\p{{M}}\u200d]+\s+)?{_NUMBER}(?:\s*(?:/|of)\s*{_NUMBER})?)"
 TITLE = rf".{{3,80}}\s[-–—]\s(?:\p{{L}}[\p{{L}}\p{{M}}]*\s)?{_NUMBER}(?:\s+{PAGE_NUMBER.replace('(?i)', '')}|\s*\|\s*{_NUMBER})?"
@@ -174,25 +175,31 @@ def tokens(lines: DataFrame, joins: tuple[np.ndarray, float]) -> DataFrame:
     order = Window.partitionBy("unit").orderBy("ord", "id")
     # A number alone on a line stands between the parts of a broken word, but is none of them.
     lone = F.col("text").rlike(r"^[^\p{L}]*$")
-    behind, ahead = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    marked = content.withColumn("lone", lone).withColumn("next", F.first(F.when(~F.col("lone"), F.col("text")), ignorenulls=True).over(ahead))
+    behind = order.rowsBetween(Window.unboundedPreceding, -1)
+    # What comes after, as what came before in the opposite order: a frame that ends with the unit is read again for each line.
+    ahead = Window.partitionBy("unit").orderBy(F.desc("ord"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
+    marked = content.withColumn("lone", lone).withColumn("next", F.last(F.when(~F.col("lone"), F.col("text")), ignorenulls=True).over(ahead))
     judged = marked.withColumn("ends", ~F.col("lone") & (_linear(_join_features(F.col("text"), F.col("next")), joins) > 0))
     linked = judged.withColumn("went_on", ~F.col("lone") & F.coalesce(F.last(F.when(~F.col("lone"), F.col("ends")), ignorenulls=True).over(behind), F.lit(False)))
     parts = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     kept = F.when(F.col("went_on"), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
-    listed = linked.select("tab", "id", "sub", "unit", "ord", "ends", F.regexp_extract("next", r"^\s*(\S+)", 1).alias("rest"), F.size(kept).alias("n"), F.posexplode(kept).alias("pos", "raw"))
+    # What is said of a line stands in a selection of its own, or the planner says it again for each word.
+    whole = linked.select("tab", "id", "sub", "unit", "ord", "ends", F.regexp_extract("next", r"^\s*(\S+)", 1).alias("rest"), kept.alias("kept")).withColumn("n", F.size("kept"))
+    listed = whole.select("tab", "id", "sub", "unit", "ord", "ends", "rest", "n", F.posexplode("kept").alias("pos", "raw"))
     last = F.col("ends") & (F.col("pos") == F.col("n") - 1)
     stub = F.regexp_replace("raw", rf"[{DASHES}]$", "")
     joined = listed.select("tab", "id", "sub", "unit", "ord", "pos", F.when(last, F.concat(stub, F.coalesce("rest", F.lit("")))).otherwise(F.col("raw")).alias("raw"), F.when(last, F.length(stub)).alias("broken"))
-    return joined.withColumn("word", F.lower(F.regexp_replace("raw", rf"^[{EDGE}]+|[{EDGE}]+$", "")))
+    return joined.withColumn("word", F.lower(F.btrim("raw", F.lit(EDGES))))
 
 
 def lexicon(lines: DataFrame, questions: DataFrame) -> DataFrame:
     """(word, count) over all clean texts."""
     scanned = F.array_contains(F.coalesce("flags", F.array().cast("array<string>")), "ocr")
     texts = lines.where("source <> 'ocr'").select("text").unionByName(questions.where(~scanned).select(F.concat_ws(" ", "stem", F.array_join("options", " ")).alias("text")))
-    words = texts.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).select(F.regexp_replace("w", rf"^[{EDGE}]+|[{EDGE}]+$", "").alias("word"))
-    return words.where(F.col("word").rlike(r"\p{L}")).groupBy("word").count()
+    # Counted as they stand first: each distinct piece is stripped once. A condition that asks for the count stays behind it.
+    pieces = texts.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).groupBy("w").count()
+    words = pieces.select(F.btrim("w", F.lit(EDGES)).alias("word"), "count").where(F.when(F.col("count") > 0, F.col("word").rlike(r"\p{L}")))
+    return words.groupBy("word").agg(F.sum("count").alias("count"))
 
 
 def _grams(word: Column) -> Column:
@@ -247,29 +254,157 @@ def differences(word: str, other: str) -> list[tuple[str, str]]:
     return [(x, y)]
 
 
-def _script(c: str) -> int:
-    return 0 if "a" <= c <= "z" else 1 if "\u0d80" <= c <= "\u0dff" or c == "\u200d" else 2 if c.isdigit() else 3
+def _codes(words: list[str], width: int) -> np.ndarray:
+    """The characters of words as numbers, a column of `width` for each word, filled up with zeros."""
+    return np.ascontiguousarray(np.array(words, dtype=f"U{width}").view(np.uint32).reshape(len(words), width).T)
 
 
-def features(word: str, other: str, count: int, least: float, total: float) -> list[float]:
-    """What a replacement changes, and how often such changes occur among scanned against clean words: least and sum of their ratios."""
-    edits = differences(word, other)
-    main = _script(max(other, key=lambda c: _script(c) < 2)) if other else 0
-    foreign = sum(_script(c) != main for c in word if c not in "'-") - sum(_script(c) != main for c in other if c not in "'-")
-    changed = sum(max(len(x), len(y)) for x, y in edits)
-    return [least, total, len(edits), changed, changed / max(1, len(word)), foreign, np.log(count), len(word), max(abs(len(x) - len(y)) for x, y in edits), float(any(not x or not y for x, y in edits))]
+def _pick(codes: np.ndarray, column: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The characters of columns at places; at a place outside a column is anything."""
+    return codes.ravel().take(places * codes.shape[1] + column, mode="clip")
+
+
+def _leading(same: np.ndarray) -> np.ndarray:
+    """How many values of each column are true before the first that is not."""
+    return np.logical_and.accumulate(same, axis=0).sum(axis=0)
+
+
+def _segments(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(column, lengths in the one and the other, places in the one and the other): what `differences` says of many pairs at once.
+
+    x and y are the characters of the words, n and m their lengths. Each step gives the next segment of each pair that is left.
+    """
+    column, from_x, from_y, to_x, to_y = np.arange(len(n)), np.zeros(len(n), int), np.zeros(len(n), int), n, m
+    while len(column):
+        shorter = np.minimum(to_x - from_x, to_y - from_y)
+        at = np.arange(max(1, int(shorter.max())))[:, None]
+        alike = _leading((_pick(x, column, from_x + at) == _pick(y, column, from_y + at)) & (at < shorter))
+        from_x, from_y = from_x + alike, from_y + alike
+        alike = _leading((_pick(x, column, to_x - 1 - at) == _pick(y, column, to_y - 1 - at)) & (at < shorter - alike))
+        to_x, to_y = to_x - alike, to_y - alike
+        size, i, j = (np.zeros(len(column), int) for _ in range(3))
+        long = np.flatnonzero(np.minimum(to_x - from_x, to_y - from_y) >= 3)
+        if len(long):
+            left = []
+            for codes, start, end, none in ((x, from_x[long], to_x[long], 0), (y, from_y[long], to_y[long], 1 << 31)):
+                at = np.arange(int((end - start).max()))[:, None]
+                left.append(np.where(at < end - start, _pick(codes, column[long], start + at), np.uint32(none)))
+            size[long], i[long], j[long] = _common(*left, np.minimum(to_x - from_x, to_y - from_y)[long] - 1)
+        more = size > 0
+        yield column, np.where(more, i, to_x - from_x), np.where(more, j, to_y - from_y), from_x, from_y
+        column, from_x, from_y, to_x, to_y = column[more], (from_x + i + size)[more], (from_y + j + size)[more], to_x[more], to_y[more]
+
+
+def _common(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, i, j) of the longest piece that splits x and y, the first of several, as `differences` looks for it; size 0 is none.
+
+    A piece has at most `most` characters, begins behind the first one of x, and is none if y begins with it. What fills up x
+    and what fills up y differ.
+    """
+    best, at_i, at_j = (np.zeros(len(most), int) for _ in range(3))
+    most = most.astype(np.int8)
+    # How long x from i and y from j agree: from the end, each by the one behind it.
+    run = np.zeros((len(y) + 1, len(most)), np.int8)
+    for i in range(len(x) - 1, 0, -1):
+        run[:-1] = (run[1:] + 1) * (y == x[i])
+        size = np.minimum(run[1:].max(axis=0), most)
+        better = np.flatnonzero((size > run[0]) & (size >= best))
+        best[better], at_i[better] = size[better], i
+        at_j[better] = np.argmax(run[:, better] >= size[better], axis=0)
+    return best, at_i, at_j
+
+
+#: Pairs of words up to so many characters are compared at once; those with longer ones, of which there are few, one by one.
+TOGETHER = (8, 11, 14, 18, 24, 32, 64)
+
+
+def compared(words: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """(pair, length in the word, length in the other, text in the word, text in the other): the segments of `differences`
+    of each pair, in order; the texts of a segment of more than three characters are anything."""
+    n, m = (np.fromiter(map(len, side), int, len(side)) for side in (words, others))
+    # A zero is what fills up the columns of characters.
+    longest = np.where([("\0" in w or "\0" in o) for w, o in zip(words, others)], TOGETHER[-1] + 1, np.maximum(n, m)).astype(int)
+    parts = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), pa.array([], pa.string()), pa.array([], pa.string()))]
+    for least, most in zip((-1, *TOGETHER), TOGETHER):
+        rows = np.flatnonzero((longest > least) & (longest <= most))
+        if len(rows):
+            x, y = (_codes([side[k] for k in rows], most) for side in (words, others))
+            for column, size_x, size_y, at_x, at_y in _segments(x, n[rows], y, m[rows]):
+                texts = [_texts(codes, column, at, size) for codes, at, size in ((x, at_x, size_x), (y, at_y, size_y))]
+                parts.append((rows[column], size_x, size_y, *texts))
+    single = [(k, x, y) for k in np.flatnonzero(longest > TOGETHER[-1]).tolist() for x, y in differences(words[k], others[k])]
+    if single:
+        at, x, y = zip(*single)
+        parts.append((np.array(at), np.array([*map(len, x)]), np.array([*map(len, y)]), pa.array(x, pa.string()), pa.array(y, pa.string())))
+    pair, size_x, size_y, *texts = zip(*parts)
+    order = np.argsort(pair := np.concatenate(pair), kind="stable")
+    return pair[order], np.concatenate(size_x)[order], np.concatenate(size_y)[order], *(pa.concat_arrays(t).take(pa.array(order)) for t in texts)
+
+
+def _texts(codes: np.ndarray, column: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The texts of segments of at most three characters; of longer ones the first three."""
+    k = np.arange(3)[:, None]
+    three = np.where(k < size, _pick(codes, column, at + k), np.uint32(0))
+    return pa.array(np.ascontiguousarray(three.T).view("U3").ravel(), pa.string())
+
+
+_DIGITS = np.array([c for c in range(0x110000) if chr(c).isdigit()])
+
+
+def _scripts(codes: np.ndarray) -> np.ndarray:
+    """0 for Latin, 1 for Sinhala, 2 for digits, 3 for all else."""
+    sinhala = ((codes >= 0x0D80) & (codes <= 0x0DFF)) | (codes == 0x200D)
+    return np.select([(codes >= ord("a")) & (codes <= ord("z")), sinhala, np.isin(codes, _DIGITS)], [0, 1, 2], 3)
+
+
+def _foreign(words: list[str], others: list[str], n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """By how many characters of another script than the main one of the other word a word has more than the other."""
+    scripts = []
+    for side, size in ((words, n), (others, m)):
+        codes = _codes(side, max(1, int(size.max())))
+        scripts.append((_scripts(codes), np.arange(len(codes))[:, None] < size, (codes == ord("'")) | (codes == ord("-"))))
+    kind, inside, _ = scripts[1]
+    main = np.where(m > 0, kind[np.argmax((kind < 2) & inside, axis=0), np.arange(len(m))], 0)
+    ours, theirs = (((kind != main) & inside & ~mark).sum(axis=0) for kind, inside, mark in scripts)
+    return ours - theirs
 
 
 def with_edits(pairs: DataFrame) -> DataFrame:
-    """The pairs with `edits`, the differences between word and candidate; a long one, which is never counted, is null."""
+    """The pairs with `edits`, the differences between word and candidate; a long one, which is never counted, is null.
+
+    `shape` holds what else is said of all of them: the characters changed, 31 bits of the most that one grows or shrinks,
+    a bit that is set if one is empty on a side. `foreign` are the characters of another script that the word has more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("a", pa.string()), ("b", pa.string())]))
+        kind = pa.struct([("a", pa.string()), ("b", pa.string())])
         for batch in batches:
-            edits = [[{"a": x, "b": y} if max(len(x), len(y)) <= 3 else None for x, y in differences(w, o)] for w, o in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, kind)], ["word", "scanned", "candidate", "count", "edits"])
+            if not batch.num_rows:
+                continue
+            words, others = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            n, m = (np.fromiter(map(len, side), int, len(side)) for side in (words, others))
+            pair, x, y, a, b = compared(words, others)
+            first = np.searchsorted(pair, np.arange(len(words) + 1))
+            each = pa.StructArray.from_arrays([a, b], fields=list(kind), mask=pa.array(np.maximum(x, y) > 3))
+            edits = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), each)
+            over = lambda kind, values: kind.reduceat(values, first[:-1])
+            changed, uneven, empty = over(np.add, np.maximum(x, y)), over(np.maximum, np.abs(x - y)), over(np.maximum, (x == 0) | (y == 0))
+            more = pa.array(changed << 32 | uneven << 1 | empty), pa.array(_foreign(words, others, n, m).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more, edits], ["word", "scanned", "candidate", "count", "shape", "foreign", "edits"])
+
+    schema = "word string, scanned boolean, candidate string, count bigint, shape bigint, foreign int, edits array<struct<a: string, b: string>>"
+    return pairs.select("word", "scanned", "candidate", "count").mapInArrow(run, schema)
+
+
+#: What the trees are told of a pair, in the order of with_ratios and `features`.
+TOLD = ("count", "least", "total", "parts", "shape", "foreign", "length")
+
 
-    return pairs.select("word", "scanned", "candidate", "count").mapInArrow(run, "word string, scanned boolean, candidate string, count bigint, edits array<struct<a: string, b: string>>")
+def features(batch: pa.RecordBatch) -> np.ndarray:
+    """A row for each pair of a batch of TOLD: what a replacement changes, and how often such changes occur among scanned against clean words: least and sum of their ratios."""
+    count, least, total, parts, shape, foreign, length = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(TOLD)))
+    changed, uneven, empty = shape >> 32, shape >> 1 & (1 << 31) - 1, shape & 1
+    return np.stack([least, total, parts, changed, changed / np.maximum(1, length), foreign, np.log(count), length, uneven, empty], axis=1).astype(float)
 
 
 def edit_ratios(edited: DataFrame) -> DataFrame:
@@ -287,10 +422,11 @@ def edit_ratios(edited: DataFrame) -> DataFrame:
 
 
 def with_ratios(edited: DataFrame, ratios: DataFrame) -> DataFrame:
-    """(word, scanned, candidate, count, least, total): the least and the sum of the ratios of a pair's differences, 0 for those that are not counted."""
-    each = edited.select("word", "scanned", "candidate", "count", F.explode("edits").alias("e")).select("*", "e.a", "e.b").drop("e").join(ratios, ["a", "b"], "left")
+    """(word, scanned, candidate, *TOLD): the number, the least and the sum of the ratios of a pair's differences, 0 for those that are not counted."""
+    each = edited.select("word", "scanned", "candidate", "count", "shape", "foreign", F.explode("edits").alias("e")).select("*", "e.a", "e.b").drop("e").join(ratios, ["a", "b"], "left")
     ratio = F.coalesce("ratio", F.lit(0.0))
-    return each.groupBy("word", "scanned", "candidate", "count").agg(F.min(ratio).alias("least"), F.sum(ratio).alias("total"))
+    rated = each.groupBy("word", "scanned", "candidate", "count", "shape", "foreign").agg(F.min(ratio).alias("least"), F.sum(ratio).alias("total"), F.count("*").alias("parts"))
+    return rated.withColumn("length", F.length("word")).select("word", "scanned", "candidate", *TOLD)
 
 
 def planted(known: DataFrame, ratios: DataFrame, most: int) -> DataFrame:
@@ -317,23 +453,23 @@ class Ranker:
     """The fitted trees; small, and sent to the tasks with the plan."""
 
     def __init__(self, rows: DataFrame):
-        """Rows are (word, candidate, count, least, total, whether the candidate is right); only numbers reach the driver."""
+        """Rows are (*TOLD, whether the candidate is right); only numbers reach the driver."""
         names = [f"f{i}" for i in range(10)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = np.array([features(*r) for r in zip(*(c.to_pylist() for c in batch.columns[:5]))], float).reshape(-1, 10)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(5).cast(pa.float64()), *map(pa.array, x.T)], ["word", "candidate", "right", *names])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, features(batch).T), batch.column(len(TOLD)).cast(pa.float64())], [*names, "right"])
 
-        schema = f"word string, candidate string, right double, {', '.join(f'{n} double' for n in names)}"
-        shown = rows.select("word", "candidate", "count", "least", "total", "right").mapInArrow(run, schema)
-        table = shown.orderBy("word", "candidate", "right").select(*names, "right").toArrow()
+        schema = ", ".join(f"{n} double" for n in (*names, "right"))
+        table = rows.select(*TOLD, "right").mapInArrow(run, schema).toArrow()
         *x, y = (table.column(n).to_numpy() for n in (*names, "right"))
-        self.trees = BoostedTrees().fit(np.stack(x, axis=1), y)
+        # Rows come in any order, and sums are made in one. Spark would make the rows twice to sort them.
+        order = np.lexsort([*x, y])
+        self.trees = BoostedTrees().fit(np.stack(x, axis=1)[order], y[order])
 
-    def score(self, rows: list[tuple[str, str, int, float, float]]) -> np.ndarray:
-        """The probability that each replacement is right."""
-        return self.trees.predict(np.array([features(*r) for r in rows], float).reshape(-1, 10))
+    def score(self, batch: pa.RecordBatch) -> np.ndarray:
+        """The probability that each replacement in a batch of TOLD is right."""
+        return self.trees.predict(features(batch))
 
 
 def corrections(found: DataFrame, lines: DataFrame, questions: DataFrame) -> DataFrame:
@@ -348,18 +484,16 @@ def corrections(found: DataFrame, lines: DataFrame, questions: DataFrame) -> Dat
     pairs = stash(with_ratios(edited, ratios), "rated")
     made = stash(planted(known, ratios, SAMPLE_WORDS), "planted")
     shown = with_ratios(with_edits(candidates(made.select("word", F.lit(True).alias("scanned")), index)), ratios).join(made, "word")
-    values = ("word", "candidate", "count", "least", "total")
-    right = shown.select(*values, (F.col("candidate") == F.col("truth")).alias("right"))
+    right = shown.select(*TOLD, (F.col("candidate") == F.col("truth")).alias("right"))
     clean = pairs.where("NOT scanned").select("word").distinct().orderBy(F.xxhash64("word"), "word").limit(SAMPLE_WORDS)
-    wrong = pairs.where("NOT scanned").join(F.broadcast(clean), "word").select(*values, F.lit(False).alias("right"))
+    wrong = pairs.where("NOT scanned").join(F.broadcast(clean), "word").select(*TOLD, F.lit(False).alias("right"))
     ranker = Ranker(right.unionByName(wrong))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = ranker.score(list(zip(*(c.to_pylist() for c in batch.columns))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], ["word", "fixed", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("candidate"), pa.array(ranker.score(batch), pa.float64())], ["word", "fixed", "score"])
 
-    scored = pairs.where("scanned").select(*values).mapInArrow(run, "word string, fixed string, score double")
+    scored = pairs.where("scanned").select(*TOLD, "word", "candidate").mapInArrow(run, "word string, fixed string, score double")
     top = scored.where("score > 0.5").groupBy("word").agg(F.max_by("fixed", F.struct("score", "fixed")).alias("fixed"))
     # Numbers, of which no lexicon is kept: letters that look like digits among digits.
     numbers = unknown.where(F.col("word").rlike(r"^[lo]*[0-9][0-9lo]*$")).select("word", F.translate("word", "lo", "10").alias("fixed"))

@@ -166,3 +166,54 @@ def test_a_rare_class_is_told_apart():
     y = (np.arange(20_000) < 60).astype(float)
     p = BoostedTrees().fit(x, y).predict(np.array([[1.0, 5.0], [2.0, 5.0], [7.0, 5.0]]))
     assert p[0] > 0.5 > p[1] and p[2] < 0.5
+
+
+def test_pairs_compared_at_once_have_the_same_differences():
+    rng = random.Random(3)
+    word = lambda alphabet, most: "".join(rng.choice(alphabet) for _ in range(rng.randint(1, most)))
+    pairs = [(word(a, most), word(a, most)) for a in ("ab", "abcdefg", "aශ්‍1-'é\U0001f600", "a\0b") for most in (5, 12, 40, 90) for _ in range(150)]
+    pairs += [(w, w.replace("e", "c", 1)) for w in WORDS] + [("abc", "abc"), ("garclen", "garden")]
+    pair, x, y, a, b = scannoise.compared(*map(list, zip(*pairs)))
+    found = [[] for _ in pairs]
+    for k, *sizes, one, other in zip(pair.tolist(), x.tolist(), y.tolist(), a.to_pylist(), b.to_pylist()):
+        found[k].append((*sizes, *((one, other) if max(sizes) <= 3 else ())))
+    assert found == [[(len(s), len(t), *((s, t) if max(len(s), len(t)) <= 3 else ())) for s, t in scannoise.differences(w, o)] for w, o in pairs]
+
+
+def test_shape_of_a_replacement(spark):
+    pairs = [("garclen", "garden"), ("1l-é", "il"), ("coppeer", "copper"), ("abc", "xyzab"), ("xaaaayb", "zaaaawwwwb")]
+    edited = scannoise.with_edits(spark.createDataFrame([(w, True, o, 5) for w, o in pairs], "word string, scanned boolean, candidate string, count long"))
+    ratios = spark.createDataFrame([("cl", "d", 9, 2.0)], "a string, b string, n long, ratio double")
+    rated = scannoise.with_ratios(edited, ratios).select(*scannoise.TOLD, "word").toArrow().to_batches()
+    rows = {w: r for batch in rated for w, r in zip(batch.column("word").to_pylist(), scannoise.features(batch).tolist())}
+    for word, other in pairs:
+        sizes = [(len(s), len(t)) for s, t in scannoise.differences(word, other)]
+        changed, ratio = sum(map(max, sizes)), 2.0 if word == "garclen" else 0.0
+        foreign = 2 if word == "1l-é" else 0
+        uneven, empty = max(abs(s - t) for s, t in sizes), float(any(not s or not t for s, t in sizes))
+        assert rows[word] == [ratio, ratio, len(sizes), changed, changed / len(word), foreign, np.log(5), len(word), uneven, empty]
+
+
+def test_a_line_is_taken_apart_once_and_not_for_each_of_its_words(spark):
+    lines, _, _ = pages(spark)
+    joins = np.array([2.0, 0.0, 0.0, 0.0]), -1.0
+    plan = scannoise.tokens(scannoise.page_lines(lines).withColumn("furniture", scannoise.F.lit(False)), joins)._jdf.queryExecution().optimizedPlan().toString()
+    above, generate, below = plan.partition("Generate posexplode")
+    assert generate and "split(" in below
+    assert "split(" not in above and "regexp_extract(" not in above
+
+
+def test_equal_rows_weigh_as_many():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 4, size=(400, 3)).astype(float)
+    y = (x[:, 0] + rng.random(400) > 2).astype(float)
+    seen = []
+
+    class Watched(BoostedTrees):
+        def _split(self, binned, *rest):
+            seen.append(len(binned))
+            return super()._split(binned, *rest)
+
+    p = Watched().fit(np.repeat(x, 5, axis=0), np.repeat(y, 5)).predict(x)
+    assert max(seen) <= 2 * 4**3
+    assert ((p > 0.5) == (y == 1)).mean() > 0.75
